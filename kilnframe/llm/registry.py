@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import packing
+from . import mixing, packing, quality
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op3_source_mix": mixing.op3_source_mix,
+    "op5_quality_rules": quality.op5_quality_rules,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op3_source_mix": mixing.OP3_SQL, "op5_quality_rules": quality.OP5_SQL}
