@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import mixing, packing, quality, simhash
+from . import ann, mixing, packing, quality, simhash
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
+    "op2_ann_onebit": ann.op2_ann_onebit,
     "op3_source_mix": mixing.op3_source_mix,
     "op4_simhash_dedup": simhash.op4_simhash_dedup,
     "op5_quality_rules": quality.op5_quality_rules,
 }
-ORACLE_SQL = {"op3_source_mix": mixing.OP3_SQL, "op5_quality_rules": quality.OP5_SQL}
+ORACLE_SQL = {"op2_ann_onebit": ann.OP2_SQL, "op3_source_mix": mixing.OP3_SQL, "op5_quality_rules": quality.OP5_SQL}
