@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, html_text, mixing, packing, quality, simhash
+from . import ann, chat, html_text, mixing, packing, quality, simhash
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_source_mix": mixing.op3_source_mix,
     "op4_simhash_dedup": simhash.op4_simhash_dedup,
     "op5_quality_rules": quality.op5_quality_rules,
+    "op9_chat_format": chat.op9_chat_format,
     "op10_html_extract": html_text.op10_html_extract,
 }
 ORACLE_SQL = {"op2_ann_onebit": ann.OP2_SQL, "op3_source_mix": mixing.OP3_SQL, "op5_quality_rules": quality.OP5_SQL}
