@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, chat, html_text, mixing, packing, quality, simhash
+from . import ann, chat, html_text, language, mixing, packing, quality, simhash, toxicity
 
 QUERIES = {
     "op1_best_fit_packing": packing.op1_best_fit_packing,
@@ -10,6 +10,8 @@ QUERIES = {
     "op3_source_mix": mixing.op3_source_mix,
     "op4_simhash_dedup": simhash.op4_simhash_dedup,
     "op5_quality_rules": quality.op5_quality_rules,
+    "op6_language_id": language.op6_language_id,
+    "op8_toxicity": toxicity.op8_toxicity,
     "op9_chat_format": chat.op9_chat_format,
     "op10_html_extract": html_text.op10_html_extract,
 }
