@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..shipping import ship
 from . import storage
 
 K = 10
@@ -134,6 +135,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_
         columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.empty(0)] * 3
         return pa.table([pa.array(c).cast(f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
 
+    ship(spark)
     local = sides[0].unionByName(sides[1]).groupBy("block", "q_block").applyInArrow(meet, "query_id long, vec_id long, score double")
     order = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
     return local.withColumn("rank", order).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -140,7 +140,7 @@ def priced(rows: DataFrame, tokenizer: str) -> DataFrame:
             prices = [len(encode(turn_text(r, t)[0])) // 4 for r, t in zip(role, text, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prices, pa.int64())], [*batch.schema.names, "tokens"])
 
-    return rows.mapInArrow(run, rows._jdf.schema().toDDL() + ", tokens long")
+    return storage.map_arrow(rows, run, storage.schema_of(conv_id="long", turn="long", role="string", text="string", tokens="long"))
 
 
 def format_conversations(
@@ -209,8 +209,8 @@ def format_conversations(
         if key and (window := state.flush()):
             yield batch_of([(key[0], *window)])
 
-    schema = "conv_id long, position long, n_context int, tokens long, text string, loss array<struct<begin: long, end: long>>"
-    return dealt.mapInArrow(run, schema)
+    schema = storage.schema_of(conv_id="long", position="long", n_context="int", tokens="long", text="string", loss="array<struct<begin: long, end: long>>")
+    return storage.map_arrow(dealt, run, schema)
 
 
 def digests(windows: DataFrame) -> DataFrame:
@@ -252,7 +252,7 @@ def digests(windows: DataFrame) -> DataFrame:
         if key:
             yield batch_of([row()])
 
-    return dealt.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return storage.map_arrow(dealt, run, storage.schema_of(conv_id="long", n_turns="long", turns_sha256="string", loss_chars="long", loss_sha256="string", formatted_chars="long"))
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -217,8 +217,7 @@ def extract(pages: DataFrame, columns: list[str], html_col: str = "html") -> Dat
             texts = [main_text(page.as_py()) for page in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["row", "text", "n_chars"])
 
-    kind = kept.schema["row"].dataType.simpleString()
-    return kept.mapInArrow(run, f"row {kind}, text string, n_chars long")
+    return storage.map_arrow(kept, run, storage.schema_of(row=kept.schema["row"].dataType, text="string", n_chars="long"))
 
 
 def op10_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -131,7 +131,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
                 counts = gram_counts([t for t, _ in pairs])
                 yield pa.RecordBatch.from_arrays([pa.array([k for _, k in pairs], pa.string()), pa.array([c.tobytes() for c in counts], pa.binary())], ["lang", "counts"])
 
-    found = sorted((r["lang"], bytes(r["counts"])) for r in sample.mapInArrow(run, "lang string, counts binary").limit(4 * SAMPLE).collect())
+    found = sorted((r["lang"], bytes(r["counts"])) for r in storage.map_arrow(sample, run, storage.schema_of(lang="string", counts="binary")).limit(4 * SAMPLE).collect())
     return Model(np.array([np.frombuffer(c, np.float32) for _, c in found]).reshape(-1, DIMS), [k for k, _ in found])
 
 
@@ -144,7 +144,7 @@ def identify(docs: DataFrame, model: Model, columns: list[str], text_col: str =
             langs, scores, rejected = model.predict(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], ["row", "lang_pred", "score", "rejected"])
 
-    return rows.mapInArrow(run, f"row {rows.schema['row'].dataType.simpleString()}, lang_pred string, score double, rejected boolean")
+    return storage.map_arrow(rows, run, storage.schema_of(row=rows.schema["row"].dataType, lang_pred="string", score="double", rejected="boolean"))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -203,9 +203,8 @@ def scan_licences(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
             families = [",".join(sorted({f["family"] for f in x})) for _, x in found]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([x for _, x in found], kinds), pa.array(families, pa.string())], ["doc_id", "n_paragraphs", "licences", "families"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {kind}, n_paragraphs long, licences array<struct<paragraph: int, family: string, probability: double, likeness: double>>, families string"
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    schema = storage.schema_of(doc_id=docs.schema[id_col].dataType, n_paragraphs="long", licences="array<struct<paragraph: int, family: string, probability: double, likeness: double>>", families="string")
+    return storage.map_arrow(docs.select(F.col(id_col), F.col(text_col)), run, schema)
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

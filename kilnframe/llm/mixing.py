@@ -112,10 +112,9 @@ def mix_sources(docs: DataFrame, epochs: int = EPOCHS, id_col: str = "doc_id", s
 def mixed(docs: DataFrame, epochs: int = EPOCHS, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """The mix itself: rows of docs, each as often as it is taken."""
     base = storage.materialize(sized(docs, id_col, source_col, text_col), "mix-base")
-    t = thresholds(base, epochs).select(F.col("source").alias("_source"), "whole", "last")
-    rows = docs.join(t, F.col(source_col).eqNullSafe(F.col("_source"))).withColumn("h", hash_digits(F.col(id_col)))
-    times = rows.withColumn("_copies", copies()).where(F.col("_copies") > 0)
-    return times.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*(times[f"`{c}`"] for c in docs.columns))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(source_col).alias("source"), hash_digits(F.col(id_col)).alias("h"))
+    times = _within(rows, thresholds(base, epochs), "whole", "last").select("row", copies().alias("times")).where("times > 0")
+    return times.select("row", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")
 
 
 def op3_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

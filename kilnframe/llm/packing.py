@@ -176,9 +176,9 @@ def cut_pieces(docs: DataFrame, path: str, max_len: int, end_id: int, id_col: st
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "nth", "ids"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=False)], names[: len(out)])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part int, nth long" + ", ids binary" * keep_ids
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    ids = {"ids": "binary"} if keep_ids else {}
+    schema = storage.schema_of(doc_id=docs.schema[id_col].dataType, piece="int", start="long", length="long", ids_crc32="long", part="int", nth="long", **ids)
+    return storage.map_arrow(docs.select(F.col(id_col), F.col(text_col)), run, schema)
 
 
 def pack_documents(
@@ -212,8 +212,8 @@ def pack_documents(
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in out), pa.array(sequence), pa.array(offset)], [*out, "sequence_id", "offset"])
 
     placed = ranked.select(*out, (F.col("before") + F.col("nth")).alias("rank"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in placed.schema if f.name != "rank")
-    return placed.mapInArrow(assign, f"{schema}, sequence_id long, offset long")
+    schema = storage.schema_of(**{f.name: f.dataType for f in placed.schema if f.name != "rank"}, sequence_id="long", offset="long")
+    return storage.map_arrow(placed, assign, schema)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -68,8 +68,8 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.array([fingerprint(t.as_py(), shingle) for t in batch.column(1)], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, fp long")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col))
+    return storage.map_arrow(rows, run, storage.schema_of(doc_id=docs.schema[id_col].dataType, fp="long"))
 
 
 # partitions and thresholds -----------------------------------------------------------------------------------------------
@@ -87,7 +87,8 @@ def bit_counts(reps: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(total.ravel())], ["i", "j", "n"])
 
     out = np.zeros((64, 64))
-    for r in reps.select("fp").mapInArrow(run, "i long, j long, n double").groupBy("i", "j").agg(F.sum("n").alias("n")).collect():
+    tables = storage.map_arrow(reps.select("fp"), run, storage.schema_of(i="long", j="long", n="double"))
+    for r in tables.groupBy("i", "j").agg(F.sum("n").alias("n")).collect():
         out[r["i"], r["j"]] = r["n"]
     return out
 
@@ -287,7 +288,8 @@ def bucket_links(rows: DataFrame, partitions: list[tuple[list[int], int]], limit
         if held:
             yield from links(*(np.concatenate(c) for c in zip(*held, strict=True)))
 
-    return rows.repartition("part", "key").sortWithinPartitions("part", "key", "fp").mapInArrow(run, "a long, b long")
+    dealt = rows.repartition("part", "key").sortWithinPartitions("part", "key", "fp")
+    return storage.map_arrow(dealt, run, storage.schema_of(a="long", b="long"))
 
 
 def star_components(edges: DataFrame) -> DataFrame:

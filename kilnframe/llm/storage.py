@@ -6,7 +6,12 @@ import atexit
 import tempfile
 import uuid
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+
+from ..shipping import ship
 
 _CLEANED: set[str] = set()
 
@@ -45,5 +50,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def schema_of(**kinds: T.DataType | str) -> T.StructType:
+    """A schema from names and types, given as types or as DDL."""
+    return T.StructType([T.StructField(name, T.DataType.fromDDL(kind) if isinstance(kind, str) else kind) for name, kind in kinds.items()])
+
+
+def map_arrow(df: DataFrame, run: Callable, schema: T.StructType) -> DataFrame:
+    """df.mapInArrow, with this package at hand in the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -150,7 +150,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     most = {0: MAX_ORDINARY, 1: MAX_TOXIC}
     share = F.when(F.col("_y") == 1, F.lit(most[1] / sizes[1])).otherwise(F.lit(most[0] / sizes[0]))
     chosen = storage.materialize(known.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < share * 1_000_000), "toxic-sample")
-    rows = docs.join(chosen, docs[id_col] == chosen["_id"]).select("_id", text_col, "_y").collect()
+    texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
+    rows = texts.join(chosen, F.col("_doc") == F.col("_id")).select("_id", "_text", "_y").collect()
     half, other = [], []
     for doc_id, text, y in sorted(rows, key=lambda r: (str(r[0]), r[1] or "")):
         (half if zlib.crc32(b"half%d" % hash_id(doc_id)) % 2 else other).append((text, y))
@@ -175,9 +176,8 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
             scores = [model.score(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], ["doc_id", "held_out", "score", "predicted"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), in_fold(F.col(id_col), FOLDS, HELD).alias("held_out"))
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return storage.map_arrow(rows, run, storage.schema_of(doc_id=docs.schema[id_col].dataType, held_out="boolean", score="double", predicted="int"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
