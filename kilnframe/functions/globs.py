@@ -9,9 +9,11 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 LABEL, PATH, WALK, DEEP, RAW = "label", "path", "walk", "deep", "raw"
 _WITHIN = {LABEL, WALK}
 _META = frozenset(r".^$+(){}|\[]*?")
@@ -106,6 +108,7 @@ def regex_column(glob: Column, dialect: str = PATH) -> Column:
 
         return globs.map(one)
 
+    ship(SparkSession.active())
     return F.pandas_udf(compile_all, "string")(glob)
 
 

@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..shipping import ship
+
 QUIET_MS, MAX_MS = 100, 500
 SUBSCRIPTION_QUIET_MS, SUBSCRIPTION_MAX_MS = 200, 800
 
@@ -55,6 +57,7 @@ def debounce_stream(changes: DataFrame, key: str, ts: str, path: str, quiet_ms:
         if out:
             yield pd.DataFrame(out, columns=["key", "batch", "first_us", "last_us", "flushed_us", "paths"])
 
+    ship(changes.sparkSession)
     timed = changes.select(F.col(key).cast("string").alias("key"), F.col(ts).alias("ts"), F.unix_micros(ts).alias("us"), F.col(path).alias("path")).withWatermark("ts", lateness)
     return timed.groupBy("key").applyInPandasWithState(fold, _BATCH, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
@@ -76,6 +79,7 @@ def log_ring_stream(lines: DataFrame, key: str, order: str = "seq", text: str =
         state.update((seen, ring))
         yield pd.DataFrame([(name[0], ring, seen - len(ring))], columns=["key", "lines", "dropped"])
 
+    ship(lines.sparkSession)
     rows = lines.select(F.col(key).cast("string").alias("key"), F.col(order).cast("bigint").alias("seq"), F.col(text).alias("line"))
     return rows.groupBy("key").applyInPandasWithState(fold, "key string, lines array<string>, dropped bigint", "seen bigint, ring array<string>", "update", GroupStateTimeout.NoTimeout)
 
@@ -93,6 +97,7 @@ def changed_only_stream(sets: DataFrame, key: str, order: str, value: str) -> Da
         state.update((last,))
         yield pd.DataFrame(out, columns=["key", "at", "value"])
 
+    ship(sets.sparkSession)
     rows = sets.select(F.col(key).cast("string").alias("key"), F.col(order).cast("bigint").alias("at"), F.col(value).cast("string").alias("value"))
     return rows.groupBy("key").applyInPandasWithState(fold, "key string, at bigint, value string", "last string", "append", GroupStateTimeout.NoTimeout)
 
