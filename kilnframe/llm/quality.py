@@ -105,7 +105,7 @@ def cutoffs(by_source: DataFrame) -> DataFrame:
     by_lang = merged(by_source, "lang")
     own = named(by_source, "s_", F.col("lang"), F.col("source"))
     lang = named(by_lang, "l_", F.col("lang").alias("_lang"))
-    joined = own.join(lang, F.col("lang").eqNullSafe(F.col("_lang")), "left").crossJoin(named(merged(by_lang), "c_"))
+    joined = own.join(lang, F.col("lang").eqNullSafe(F.col("_lang")), "left").crossJoin(named(merged(by_lang).where("n > 0"), "c_"))
     pick = lambda m: F.when(F.col("s_n") >= MIN_GROUP, F.col(f"s_{m}")).when(F.col("l_n") >= MIN_GROUP, F.col(f"l_{m}")).otherwise(F.col(f"c_{m}"))
     return joined.select("lang", "source", *(pick(m).alias(m) for m in SLACK))
 

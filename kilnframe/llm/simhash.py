@@ -23,7 +23,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -161,6 +161,8 @@ def allocate(costs: list[list[float]], total: int) -> tuple[float, list[int]]:
 def plan(reps: DataFrame, limit: int = LIMIT) -> list[tuple[list[int], int]]:
     """(bits, threshold) of each partition in use."""
     n = reps.count()
+    if not n:
+        return [(list(range(16 * k, 16 * k + 16)), 0) for k in range(4)] if limit == 3 else [(list(range(64)), limit)]
     counts = bit_counts(reps)
     layouts = [group_bits(counts, n, m) for m in range(2, limit + 2)]
     same = iter(collisions(reps, [mask_of(g) for groups in layouts for g in groups]))
@@ -173,14 +175,18 @@ def plan(reps: DataFrame, limit: int = LIMIT) -> list[tuple[list[int], int]]:
 
 
 # links -------------------------------------------------------------------------------------------------------------------
+def _keys(part: int, mask: int, flips: np.ndarray) -> Column:
+    own = F.col("fp").bitwiseAND(F.lit(mask))
+    return F.transform(F.lit(flips), lambda m: F.struct(F.lit(part).alias("part"), own.bitwiseXOR(m).alias("key"), (m == 0).alias("filed")))
+
+
 def signatures(reps: DataFrame, partitions: list[tuple[list[int], int]]) -> DataFrame:
     """part, key, fp, filed: a row under its own bits (filed) and one for each value that it probes, for each partition."""
     keys = []
     for part, (bits, threshold) in enumerate(partitions):
-        own = F.col("fp").bitwiseAND(F.lit(mask_of(bits)))
-        for k in range(threshold + 1):
-            keys += [F.struct(F.lit(part).alias("part"), own.bitwiseXOR(F.lit(mask_of(list(flip)))).alias("key"), F.lit(k == 0).alias("filed")) for flip in combinations(bits, k)]
-    return reps.select(F.explode(F.array(*keys)).alias("k"), "fp").select("k.part", "k.key", "fp", "k.filed")
+        flips = np.array([mask_of(list(f)) for k in range(threshold + 1) for f in combinations(bits, k)], dtype=np.int64)  # the first flips none
+        keys.append(_keys(part, mask_of(bits), flips))
+    return reps.select(F.explode(F.concat(*keys)).alias("k"), "fp").select("k.part", "k.key", "fp", "k.filed")
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
