@@ -44,9 +44,9 @@ def fnv1a(text: Column) -> Column:
     def step(h: Column, byte: Column) -> Column:
         low = (h % dec(F.lit(256))).cast("int")
         mixed = dec(h - dec(low) + dec(low.bitwiseXOR(byte)))
-        high, rest = F.floor(mixed / dec(F.lit(4294967296))), mixed % dec(F.lit(4294967296))
-        # 1099511628211 = 2**40 + 435, in parts that stay within 38 digits
-        return dec((dec(dec(mixed % dec(F.lit(16777216))) * dec(F.lit(1099511627776))) + dec(dec(high) * dec(F.lit(4294967296)) + dec(rest)) * dec(F.lit(435))) % dec(F.lit(18446744073709551616)))
+        # the prime is 2**40 + 435, and both products stay within 38 digits
+        low24 = dec(mixed % dec(F.lit(1 << 24)))
+        return dec(dec(dec(low24 * dec(F.lit(1 << 40))) + dec(mixed * dec(F.lit(435)))) % F.lit(str(1 << 64)).cast("decimal(38,0)"))
 
     start = F.lit("14695981039346656037").cast("decimal(38,0)")
     return F.when(text == "", start).otherwise(F.aggregate(codes, start, step))
