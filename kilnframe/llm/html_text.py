@@ -4,8 +4,8 @@ Markup is stripped to lines, one for each block of text; elements that never hol
 sidebars, notices, adverts, forms, scripts, styles, reader comments) go with their content and leave a gap of empty
 lines. Text lengths, without link text, are summed over sliding windows of lines. A surge is where the windows rise
 from nothing, a dive where they fall back to nothing; text between a surge and its dive is kept if its windows reach
-the surge height. Lines of a page's article element count as long, so a short paragraph of an article makes no dive,
-and where a page has such an element its other lines count as nothing.
+the surge height. Where an article element, or else a main element, holds a fair share of a page's text (FRAME_SHARE),
+its lines count as long, so a short paragraph makes no dive, and other lines count as nothing.
 
 Defined cases: null or empty html gives an empty text; a page without any window of surge height keeps its highest
 stretch; unclosed and misnested tags end with their container; repeated rows are extracted alike; an empty table gives
@@ -28,6 +28,8 @@ WINDOW = 3
 #: Characters without links that a window of a surge has at least.
 SURGE = 80
 ARTICLE_BONUS = 1000
+#: Share of a page's text that an article or main element holds at least if it frames the main text.
+FRAME_SHARE = 0.25
 
 # Fixed values of HTML: elements without content, elements whose content is no markup, and elements that begin a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -40,8 +42,8 @@ CHROME = frozenset("nav footer aside form head button select option menu dialog
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar note".split())
 #: Words of class and id names that mark what isn't main text.
 CHROME_NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|adsense|adslot|banner|sponsor(?:ed|s)?|promo(?:tion|s)?|comments?|commentlist|disqus|respond|replies|reply|discussion|"
-    r"sidebar|side-bar|widget|nav|navbar|navigation|menu|breadcrumbs?|pagination|pager|cookies?|consent|gdpr|notice|notification|alert|popup|pop-up|modal|overlay|newsletter|subscribe|subscription|"
+    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adslot|banner|sponsor(?:ed|s)?|promo(?:tion|s)?|comments?|commentlist|disqus|respond|replies|reply|discussion|"
+    r"sidebar\w*|side-bar|widget|nav|navbar\w*|navigation|menu|breadcrumbs?|pagination|pager|cookie\w*|consent|gdpr|notice|notification|alert|popup|pop-up|modal|overlay|newsletter|subscribe|subscription|"
     r"signup|login|social|share|sharing|related|recommended|recommendations|footer|masthead|toolbar|skip-link|disclaimer|copyright|tags|tagcloud)(?:$|[\s_-])",
     re.I,
 )
@@ -49,6 +51,7 @@ CHROME_NAMES = re.compile(
 LAYOUT_NAMES = ("no-", "has-", "with-", "without-", "is-", "js-", "layout-", "body-")
 MAIN_NAMES = re.compile(r"(?:^|[\s_-])(?:article(?:-?body)?|main-?content|post-?content|entry-?content|story-?body)(?:$|[\s_-])", re.I)
 
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*(?:>|$)", re.S)
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=\"'<>/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|\b(hidden)\b", re.S)
@@ -57,17 +60,18 @@ _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "t
 
 
 class Lines:
-    """Lines of a page: text, characters outside links, and whether an article holds them. Gaps are empty lines."""
+    """Lines of a page: text, characters outside links, and what holds them (2 an article, 1 main, 0 neither). Gaps are
+    empty lines."""
 
     def __init__(self, page: str, by_name: bool = True):
         self._by_name = by_name
         self.text: list[str] = []
         self.weight: list[int] = []
-        self.article: list[bool] = []
+        self.frame: list[int] = []
         self._parts: list[str] = []
         self._linked = 0
         self._stack: list[tuple[str, bool, bool, bool]] = []  # name, chrome, link, main
-        self._chrome = self._links = self._mains = 0
+        self._chrome = self._links = self._mains = self._articles = 0
         self._read(page)
         self._end()
 
@@ -77,12 +81,12 @@ class Lines:
             self.text.append(text)
             plain = len(text) - self._linked
             self.weight.append(plain if 5 * plain > len(text) else 0)
-            self.article.append(self._mains > 0)
+            self.frame.append(2 if self._articles else int(self._mains > 0))
         self._parts, self._linked = [], 0
         if gap:
             self.text += [""] * WINDOW
             self.weight += [0] * WINDOW
-            self.article += [False] * WINDOW
+            self.frame += [0] * WINDOW
 
     def _data(self, text: str) -> None:
         if text and not self._chrome:
@@ -100,7 +104,7 @@ class Lines:
             main = main or role in ("main", "article") or found.get("itemprop", "").lower() == "articlebody" or bool(MAIN_NAMES.search(names))
             if name not in ("html", "body", "article", "main"):
                 hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-                named = self._by_name and not main and any(CHROME_NAMES.search(x) for x in names.split() if not x.lower().startswith(LAYOUT_NAMES))
+                named = self._by_name and not main and any(CHROME_NAMES.search(_CAMEL.sub("-", x)) for x in names.split() if not x.lower().startswith(LAYOUT_NAMES))
                 chrome = chrome or role in CHROME_ROLES or hidden or named
         if name in BLOCK or chrome or main:
             self._end(gap=(chrome and not self._chrome) or (main and not self._mains))
@@ -108,6 +112,7 @@ class Lines:
         self._chrome += chrome
         self._links += name == "a"
         self._mains += main
+        self._articles += name == "article"
 
     def _pop(self) -> None:
         name, chrome, link, main = self._stack.pop()
@@ -116,6 +121,7 @@ class Lines:
         self._chrome -= chrome
         self._links -= link
         self._mains -= main
+        self._articles -= name == "article"
         if (chrome and not self._chrome) or (main and not self._mains):
             self._end(gap=True)
 
@@ -200,8 +206,9 @@ def main_text(page: str | None) -> str:
     """Blocks between surges and dives, in page order, joined by line breaks."""
     for by_name in (True, False):  # a page all of whose text lies under a suspect name is read without names
         lines = Lines(page or "", by_name)
-        framed = any(lines.article)
-        height = [(w + ARTICLE_BONUS) * a if framed else w for w, a in zip(lines.weight, lines.article, strict=True)]
+        held = [sum(w for w, f in zip(lines.weight, lines.frame, strict=True) if f >= least) for least in range(3)]
+        framed = next((f for f in (2, 1) if held[f] and held[f] >= FRAME_SHARE * held[0]), 0)
+        height = [(w + ARTICLE_BONUS) * (f >= framed) if framed and t else w * (not framed) for w, f, t in zip(lines.weight, lines.frame, lines.text, strict=True)]
         if stretches := _stretches(height):
             least = min(SURGE, max(s[0] for s in stretches))
             return "\n".join(lines.text[i] for top, a, b in stretches if top >= least for i in range(a, b) if lines.text[i] and (height[i] or not framed))

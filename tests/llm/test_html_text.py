@@ -29,6 +29,9 @@ LONG = "Word after word fills this paragraph until it is long enough to count as
         ("<article><p>unclosed <a href='x'>link text</a> and more", "unclosed link text and more"),
         ("<div style='display: none'>hidden</div><p>shown</p>", "shown"),
         ("<article><ul><li>one<li>two</ul><table><tr><td>a<td>b</table></article>", "one\ntwo\na\nb"),
+        (f"<main><p>Crumb</p><article><h1>T</h1><p>{LONG}</p></article><p>More</p></main>", f"T\n{LONG}"),
+        (f"<div><p>{LONG}</p><p>{LONG}</p></div><div><article>x</article></div>", f"{LONG}\n{LONG}"),
+        (f"<p>{LONG}</p><div class='userComments'><p>{LONG}</p></div><div id=cookiebar>{LONG}</div>", LONG),
         ("<p>un\nbroken\t lines</p>", "un broken lines"),
     ],
 )

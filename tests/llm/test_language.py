@@ -18,7 +18,7 @@ def text_of(rng, lang, words=60):
 def docs(spark):
     rng = random.Random(0)
     rows = [(i, text_of(rng, lang), lang) for i in range(240) for lang in [sorted(SYLLABLES)[i % 3]]]
-    rows += [(1000, None, "en"), (1001, "", "de"), (1002, "12 34 !? #", "fr"), (1003, text_of(rng, "de", 40_000), None), (1004, "x", None), (None, text_of(rng, "fr"), "fr"), (0, rows[0][1], "en")]
+    rows += [(1000, None, "en"), (1001, "", "de"), (1002, "12 34 !? #", "fr"), (1003, text_of(rng, "de", 40_000), None), (1004, "x", None), (None, text_of(rng, "fr"), "fr"), (0, rows[0][1], "de")]
     return spark.createDataFrame([(i, t, k, "clash", "r", 1) for i, t, k in rows], SCHEMA)
 
 
