@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from ..plans.scratch import cut
 
 
+#: Rounds after which a loop's results so far are written as one table, so that its plan stays short.
+MERGE_EVERY = 16
+
+
 class CycleError(ValueError):
     """A dependency cycle; the message names its smallest member."""
 
@@ -45,39 +49,49 @@ def direct_dependents(edges: DataFrame, label: str) -> DataFrame:
 
 
 def closure(seeds: DataFrame, edges: DataFrame, downstream: bool = False) -> DataFrame:
-    """label, depth (fewest steps from a seed) of all that seeds need, or with downstream all that needs them."""
+    """label, depth (fewest steps from a seed) of all that seeds need, or with downstream all that needs them.
+
+    Edges are dealt by the side that rounds start from once, and stay so; a round moves its new labels alone.
+    """
     source, target = ("dep", "parent") if downstream else ("parent", "dep")
-    steps = edges.select(F.col(source).alias("_at"), F.col(target).alias("_to")).distinct()
-    seen = cut(seeds.select("label").distinct().withColumn("depth", F.lit(0)))
-    new, depth = seen, 0
-    while True:
+    steps = cut(edges.select(F.col(source).alias("_at"), F.col(target).alias("_to")).distinct().repartition("_at"))
+    new = cut(seeds.select("label").distinct().withColumn("depth", F.lit(0)))
+    seen, depth = new, 0
+    while not new.isEmpty():
         depth += 1
         reached = new.join(steps, new["label"] == steps["_at"]).select(F.col("_to").alias("label")).distinct()
         new = cut(reached.join(seen, "label", "left_anti").withColumn("depth", F.lit(depth)))
-        if new.isEmpty():
-            return seen
         seen = seen.unionByName(new)
+        if depth % MERGE_EVERY == 0:
+            seen = cut(seen)
+    return seen
 
 
 def levels(targets: DataFrame, edges: DataFrame) -> DataFrame:
-    """label, level: 0 without dependencies, else one more than its highest dependency (Kahn's peeling by rounds).
+    """label, level: 0 without dependencies, else one more than its highest dependency.
 
-    Only edges between given targets count. Raises CycleError if a round peels nothing.
+    Kahn's peeling by rounds: each target holds how many dependencies it still waits for, and a round takes off those
+    that were ready before it. Only edges between given targets count. Raises CycleError if a round makes none ready.
     """
     nodes = targets.select("label").distinct()
     inside = edges.join(nodes.select(F.col("label").alias("parent")), "parent", "left_semi").join(nodes.select(F.col("label").alias("dep")), "dep", "left_semi")
-    left_edges, left = cut(inside.select("parent", "dep").distinct()), cut(nodes)
+    inside = cut(inside.select("dep", "parent").distinct().repartition("dep"))
+    waits = inside.groupBy(F.col("parent").alias("label")).agg(F.count(F.lit(1)).alias("left"))
+    pending = cut(nodes.join(waits, "label", "left").select("label", F.coalesce("left", F.lit(0)).alias("left")))
     done, level = None, 0
     while True:
-        ready = cut(left.join(left_edges.select(F.col("parent").alias("label")), "label", "left_anti").withColumn("level", F.lit(level)))
-        if ready.isEmpty():
-            if not left.isEmpty():
-                raise CycleError(f"dependency cycle through {left.agg(F.min('label')).first()[0]}")
-            return done if done is not None else ready
+        ready = pending.where("left = 0").select("label", F.lit(level).alias("level"))
+        n_ready, n_left, least = pending.agg(F.count_if(F.col("left") == 0), F.count_if(F.col("left") > 0), F.min("label")).first()
+        if n_left and not n_ready:
+            raise CycleError(f"dependency cycle through {least}")
         done = ready if done is None else done.unionByName(ready)
-        left = cut(left.join(ready, "label", "left_anti"))
-        left_edges = cut(left_edges.join(ready.select(F.col("label").alias("dep")), "dep", "left_anti"))
+        if not n_left:
+            return done
+        met = inside.join(ready.select(F.col("label").alias("dep")), "dep").groupBy(F.col("parent").alias("label")).agg(F.count(F.lit(1)).alias("met"))
+        pending = cut(pending.where("left > 0").join(met, "label", "left").select("label", (F.col("left") - F.coalesce("met", F.lit(0))).alias("left")))
         level += 1
+        if level % MERGE_EVERY == 0:
+            done = cut(done)
 
 
 def topological_order(targets: DataFrame, edges: DataFrame) -> DataFrame:
