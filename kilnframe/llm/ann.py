@@ -34,9 +34,10 @@ CODE_BITS = 256
 #: Standard errors of the estimate that a bound spans.
 EPSILON = 4.0
 SAMPLE = 4096
-BLOCK = 16_384
-QUERY_BLOCK = 2_048
-_CHUNK = 256
+#: Vectors and queries that meet in one task at most; fewer vectors, down to LEAST_BLOCK, if tasks would stand idle.
+BLOCK, LEAST_BLOCK = 65_536, 4_096
+QUERY_BLOCK = 8_192
+_CHUNK = 64
 SEED = 20
 
 
@@ -116,7 +117,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_
     sample = np.array([r["v"] for r in rows.where(F.pmod(F.xxhash64("id"), F.lit(n)) < SAMPLE).select("v").limit(2 * SAMPLE).collect()])
     centre, bits = (sample.mean(axis=0) if len(sample) else np.zeros(dim)), max(code_bits, dim)
     turn = rotation(dim, bits)
-    blocks, q_blocks = -(-n // BLOCK), max(1, -(-n_queries // QUERY_BLOCK))
+    blocks = max(-(-n // BLOCK), min(spark.sparkContext.defaultParallelism, -(-n // LEAST_BLOCK)))
+    q_blocks = max(1, -(-n_queries // QUERY_BLOCK))
     deal = F.xxhash64("id", F.lit(1))
     sides = [
         rows.select("id", "v", F.lit(False).alias("asks"), F.pmod(deal, F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("q_block")),

@@ -49,6 +49,7 @@ def test_empty(spark):
 
 def test_blocks_agree_with_brute_force(spark, monkeypatch):
     monkeypatch.setattr(ann, "BLOCK", 40)
+    monkeypatch.setattr(ann, "LEAST_BLOCK", 10)
     monkeypatch.setattr(ann, "QUERY_BLOCK", 7)
     rng = np.random.default_rng(1)
     vectors = {i: rng.standard_normal(16).astype(np.float32).tolist() for i in range(150)}
