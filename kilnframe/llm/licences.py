@@ -2,7 +2,7 @@
 
 A paragraph is a line with a word. Word unigrams and bigrams feed a multinomial logistic regression over licence
 families and ``none``, trained on the notices below, shortened, reworded and set among ordinary words, against
-paragraphs of a bounded sample of documents (NEGATIVES texts). Its probabilities are calibrated by a temperature on
+paragraphs of a bounded sample of documents (NEGATIVES texts of MAX_TEACHING_CHARS at most). Its probabilities are calibrated by a temperature on
 examples it has not seen. A paragraph gets a family if the probability reaches ACCEPT and the share of the key words of
 one of the family's notices that it holds reaches CONFIRM. If it speaks of a licence (LICENCE_WORDS) and the
 classifier tends to some licence, but no family is confirmed, it is ``unknown``.
@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from . import storage
 
 NEGATIVES = 400
+MAX_TEACHING_CHARS = 32_768
 ACCEPT, CONFIRM = 0.7, 0.6
 NONE, UNKNOWN = "none", "unknown"
 SEED = 7
@@ -184,8 +185,8 @@ class Model:
 
 def fit(docs: DataFrame, text_col: str = "text") -> Model:
     """Trained with the paragraphs of about NEGATIVES texts that speak of no licence."""
-    texts = docs.select(F.col(text_col).alias("t")).where(F.col("t").isNotNull())
-    n = texts.count()
+    texts = docs.select(F.col(text_col).alias("t")).where(F.length("t") <= MAX_TEACHING_CHARS)
+    n = docs.count()
     share = min(1.0, NEGATIVES / max(n, 1))
     some = texts.where(F.pmod(F.xxhash64("t"), F.lit(1_000_000)) < share * 1_000_000).where(~F.lower("t").rlike("|".join(LICENCE_WORDS) + "|reserved"))
     sample = sorted(r["t"] for r in some.limit(2 * NEGATIVES).collect())

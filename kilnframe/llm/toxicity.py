@@ -7,7 +7,7 @@ gains is its compressed length under the ordinary dictionary less that under the
 GAIN bytes count; how many and how much they gain is calibrated to a score by logistic regression, on labelled texts
 that the dictionaries have not seen, weighted back to the classes' true sizes.
 
-The fit sees a bounded sample, MAX_TOXIC and MAX_ORDINARY labelled texts; every whole text is scored. A worker keeps
+The fit sees a bounded sample, MAX_TOXIC and MAX_ORDINARY labelled texts of MAX_TEACHING_CHARS at most; every whole text is scored. A worker keeps
 gains of words it has met, in two generations, so memory is bounded.
 
 Defined cases: a null or empty text scores as a text without windows; repeated rows score alike; a null id belongs to
@@ -31,6 +31,8 @@ from . import storage
 
 FOLDS, HELD = 5, 0
 MAX_TOXIC, MAX_ORDINARY = 3000, 5000
+#: Longer texts are scored whole like any other, but don't teach, so the sample's size is bounded too.
+MAX_TEACHING_CHARS = 32_768
 COMMON_BYTES, TELLING_BYTES = 8192, 4096
 MIN_Z, MIN_LOG_ODDS, MIN_TEXTS = 4.0, 2.5, 3
 GAIN = 4
@@ -151,7 +153,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     share = F.when(F.col("_y") == 1, F.lit(most[1] / sizes[1])).otherwise(F.lit(most[0] / sizes[0]))
     chosen = storage.materialize(known.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < share * 1_000_000), "toxic-sample")
     texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
-    rows = texts.join(chosen, F.col("_doc") == F.col("_id")).select("_id", "_text", "_y").collect()
+    short = F.coalesce(F.length("_text"), F.lit(0)) <= MAX_TEACHING_CHARS
+    rows = texts.join(chosen, F.col("_doc") == F.col("_id")).where(short).select("_id", "_text", "_y").collect()
     half, other = [], []
     for doc_id, text, y in sorted(rows, key=lambda r: (str(r[0]), r[1] or "")):
         (half if zlib.crc32(b"half%d" % hash_id(doc_id)) % 2 else other).append((text, y))
