@@ -134,10 +134,10 @@ def priced(rows: DataFrame, tokenizer: str) -> DataFrame:
     """conv_id, turn, role, text and tokens of every formatted turn."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokens.encoder(tokenizer).encode
+        encode = tokens.encoder(tokenizer).encode_all
         for batch in batches:
             role, text = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            prices = [len(encode(turn_text(r, t)[0])) // 4 for r, t in zip(role, text, strict=True)]
+            prices = [len(ids) // 4 for ids in encode([turn_text(r, t)[0] for r, t in zip(role, text, strict=True)])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prices, pa.int64())], [*batch.schema.names, "tokens"])
 
     return storage.map_arrow(rows, run, storage.schema_of(conv_id="long", turn="long", role="string", text="string", tokens="long"))

@@ -160,11 +160,12 @@ def cut_pieces(docs: DataFrame, path: str, max_len: int, end_id: int, id_col: st
     end = struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, seen, part = tokens.encoder(path).encode, Counter(), TaskContext.get().partitionId()
+        encode, seen, part = tokens.encoder(path).encode_all, Counter(), TaskContext.get().partitionId()
         for batch in batches:
             out: list[list] = [[] for _ in range(7 + keep_ids)]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encode(text.as_py() or "") + end
+            texts = [text or "" for text in batch.column(1).to_pylist()]
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode(texts), strict=True):
+                ids += end
                 for piece, at in enumerate(range(0, len(ids), 4 * max_len)):
                     cut = ids[at : at + 4 * max_len]
                     length = len(cut) // 4
