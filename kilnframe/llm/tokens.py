@@ -19,10 +19,10 @@ import numpy as np
 _UNSAFE = re.compile("[^\t\n\x0b\x0c\r\x20-\x7e\u00a1-\u00b1\u00b4-\u00b8\u00ba\u00bb\u00bf-\u012f\u0131-\u017f]|<\\|")
 _PIECES = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 _END, _WORD_END = "\x01", "</w>"
-#: Entries of each of the cache's two generations; a worker's cache stays below about 250 MB.
-CACHE_ENTRIES = 500_000
+#: Entries of each of the cache's two generations; a worker's cache stays below about 100 MB.
+CACHE_ENTRIES = 200_000
 #: Texts whose new chunks are merged together.
-TOGETHER = 64
+TOGETHER = 8
 #: Pieces that each worker compares with the library.
 COMPARED = 2_000
 _ENCODERS: dict[str, "WordBpe"] = {}
@@ -93,9 +93,9 @@ class WordBpe:
         return found
 
     def _learn(self, new: set[str]) -> None:
-        known = {c: self._older[c] for c in new if c in self._older}
-        self._chunks |= known
-        if order := [c for c in new if c not in known]:
+        known = self._older.keys() & new
+        self._chunks.update(zip(known, map(self._older.__getitem__, known), strict=True))
+        if order := list(new - known):
             self._chunks.update(zip(order, self._merge(order), strict=True))
 
     def _encode_safe(self, texts: list[str]) -> list[bytes]:
