@@ -652,6 +652,15 @@ def heartbeats(spark: SparkSession, d: str) -> DataFrame:
     return events.silent_gaps(rows, ["key"], "ts").where("secs <= 20").select("key", F.unix_micros("silent_since").alias("silent_since"), "secs")
 
 
+@query("""
+WITH o AS (SELECT user_id AS key, epoch_us(ts) // 1000 AS us FROM events), g AS (SELECT key, us, (lead(us) OVER (PARTITION BY key ORDER BY us) - us) // 1000000 AS gap FROM o)
+SELECT key, us AS silent_since, unnest(range(3, gap + 1))::BIGINT AS secs FROM g WHERE gap >= 3""")
+def heartbeats_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every beat of each silence, over event times in milliseconds taken for microseconds, so that gaps are seconds."""
+    rows = b.changes(spark, d).withColumn("ts", F.timestamp_micros(F.floor(F.unix_micros("ts") / 1000)))
+    return events.silent_gaps(rows, ["key"], "ts").select("key", F.unix_micros("silent_since").alias("silent_since"), "secs")
+
+
 @query("""
 WITH RECURSIVE c AS (SELECT row_number() OVER (ORDER BY event_id) AS rn, 'b' || event_id AS build, event_id * 100 AS at, (value * 10)::BIGINT AS duration FROM (SELECT event_id, floor(value) AS value FROM events)),
 s AS (

@@ -69,6 +69,13 @@ def test_silence(spark):
     assert sorted(r["secs"] for r in events.silent_gaps(rows, ["k"], "ts").collect()) == [3, 4, 5]
 
 
+def test_every_beat_of_long_silences(spark, sf):
+    from kilnframe.plans import queries
+
+    got = queries.QUERIES["heartbeats_all"](spark, sf).groupBy("key", "silent_since").agg(F.min("secs").alias("a"), F.max("secs").alias("z"), F.count("*").alias("n")).collect()
+    assert max(r["z"] for r in got) > 20 and all(r["a"] == 3 and r["n"] == r["z"] - 2 for r in got)
+
+
 def test_single_slot(spark):
     asked = spark.createDataFrame([("a", 0, 10), ("b", 1, 5), ("c", 2, 5), ("d", 20, 1)], "build string, at long, duration long")
     got = {r["build"]: (r["outcome"], r["start"]) for r in events.single_slot(asked).collect()}
