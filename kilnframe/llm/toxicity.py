@@ -1,11 +1,13 @@
 """Toxicity by compression distance: windows under a dictionary of toxic text against one of ordinary text.
 
-Both zstandard dictionaries open with the words most common in ordinary texts. The toxic one goes on with strings (whole
-words and word beginnings) that labelled toxic texts hold significantly oftener, the ordinary one with further ordinary
-words of the same length, so ordinary text compresses alike under both. A window is a word with its delimiters; what it
-gains is its compressed length under the ordinary dictionary less that under the toxic one. Windows that gain at least
-GAIN bytes count; how many and how much they gain is calibrated to a score by logistic regression, on labelled texts
-that the dictionaries have not seen, weighted back to the classes' true sizes.
+Both zstandard dictionaries open with the words most common in ordinary texts. The toxic one goes on with all strings
+(words, word beginnings and runs of two to PHRASE words in order) that labelled toxic texts hold significantly oftener,
+the ordinary one with further ordinary words of the same length, so ordinary text compresses alike under both. Windows
+of two kinds are compared: each distinct word with its delimiters, and WINDOW words in order, every STEP words, so any
+PHRASE words in a row lie in one. What a window gains is its compressed length under the ordinary dictionary less that
+under the toxic one. Windows that gain at least GAIN bytes (WIDE_GAIN for several words) count; how many and how much
+they gain is calibrated to a score by logistic regression, on labelled texts that the dictionaries have not seen,
+weighted back to the classes' true sizes.
 
 The fit sees a bounded sample, MAX_TOXIC and MAX_ORDINARY labelled texts of MAX_TEACHING_CHARS at most; every whole text is scored. A worker keeps
 gains of words it has met, in two generations, so memory is bounded.
@@ -33,18 +35,32 @@ FOLDS, HELD = 5, 0
 MAX_TOXIC, MAX_ORDINARY = 3000, 5000
 #: Longer texts are scored whole like any other, but don't teach, so the sample's size is bounded too.
 MAX_TEACHING_CHARS = 32_768
-COMMON_BYTES, TELLING_BYTES = 8192, 4096
-MIN_Z, MIN_LOG_ODDS, MIN_TEXTS = 4.0, 2.5, 3
-GAIN = 4
+COMMON_BYTES = 8192
+PHRASE, WINDOW, STEP = 4, 6, 3
+MIN_LOG_ODDS, MIN_TEXTS = 2.5, 3
+#: Strings expected to be taken by chance, of all looked at; the fit keeps the level that calibrates best.
+CHANCE_STRINGS = (0.01, 1.0, 100.0)
+GAIN, WIDE_GAIN = 4, 5
 CACHE_ENTRIES = 500_000
 _PAD = b"\n" * 12  # the compressor seeks no match in a block's last bytes
 _STRIP = b".,!?;:\"'()[]{}#*$%&|<>"
 
 
-def words_of(text: str | None) -> set[bytes]:
-    """Distinct lower-case words of three bytes or more."""
-    found = {w.strip(_STRIP) for w in set((text or "").lower().encode("utf-8", "surrogatepass").split())}
-    return {w for w in found if len(w) > 2}
+def words_of(text: str | None) -> list[bytes]:
+    """Lower-case words in order."""
+    return [w for x in (text or "").lower().encode("utf-8", "surrogatepass").split() if (w := x.strip(_STRIP))]
+
+
+def windows_of(words: list[bytes]) -> Iterator[bytes]:
+    """WINDOW words each, every STEP words, to the last word; a single word is no window of several."""
+    if len(words) > 1:
+        for i in range(0, max(len(words) - WINDOW + STEP, 1), STEP):
+            yield b" " + b" ".join(words[i : i + WINDOW]) + b" "
+
+
+def phrases_of(words: list[bytes], known: set[bytes] = frozenset()) -> set[bytes]:
+    """Runs of two to PHRASE words, none of them known."""
+    return {b" " + b" ".join(p) + b" " for n in range(2, PHRASE + 1) for i in range(len(words) - n + 1) if known.isdisjoint(p := words[i : i + n])}
 
 
 def _strings(word: bytes) -> Iterator[bytes]:
@@ -67,8 +83,9 @@ class Model:
     def _open(self) -> None:
         import zstandard as z
 
+        size = max(len(self.toxic), len(self.ordinary)).bit_length() + 1  # the window reaches back over the whole dictionary
         params = z.ZstdCompressionParameters(
-            window_log=17, hash_log=15, chain_log=16, search_log=9, min_match=4, target_length=64, strategy=z.STRATEGY_LAZY2, write_content_size=0, write_checksum=0, write_dict_id=0
+            window_log=max(17, size), hash_log=15, chain_log=16, search_log=9, min_match=4, target_length=64, strategy=z.STRATEGY_LAZY2, write_content_size=0, write_checksum=0, write_dict_id=0
         )
 
         def compressor(content: bytes) -> z.ZstdCompressor:
@@ -78,6 +95,10 @@ class Model:
 
         self._t, self._o, self._gains, self._older = compressor(self.toxic), compressor(self.ordinary), {}, {}
 
+    def _compare(self, window: bytes) -> int:
+        window += _PAD
+        return len(self._o.compress(window)) - len(self._t.compress(window))
+
     def gain(self, word: bytes) -> int:
         if self._gains is None:
             self._open()
@@ -87,16 +108,22 @@ class Model:
                 self._older, self._gains = self._gains, {}
             g = self._older.get(word)
             if g is None:
-                window = b" " + word + b" " + _PAD
-                g = len(self._o.compress(window)) - len(self._t.compress(window))
+                g = self._compare(b" " + word + b" ")
             if len(word) <= 64:
                 self._gains[word] = g
         return g
 
     def features(self, text: str | None) -> tuple[float, ...]:
+        if self._gains is None:
+            self._open()
         words = words_of(text)
-        gains = [g for g in map(self.gain, words) if g >= GAIN]
-        return 1.0, max(gains, default=0) / 4, math.log1p(sum(gains)), math.log1p(sum(g > GAIN for g in gains)), math.log1p(len(words)) / 4
+        distinct = set(words)
+        gains = [g for g in map(self.gain, distinct) if g >= GAIN]
+        wide = [g for g in map(self._compare, windows_of(words)) if g >= WIDE_GAIN]
+        return (
+            1.0, max(gains, default=0) / 4, math.log1p(sum(gains)), math.log1p(sum(g > GAIN for g in gains)), math.log1p(len(distinct)) / 4,
+            max(wide, default=0) / 4, math.log1p(sum(wide)), math.log1p(sum(g > WIDE_GAIN for g in wide)),
+        )
 
     def score(self, text: str | None) -> float:
         if self.weights is None:
@@ -104,8 +131,8 @@ class Model:
         x = float(np.dot(self.weights, self.features(text)))
         return 1 / (1 + math.exp(-x)) if x > -500 else 0.0
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.02) -> None:
-        """Weighted logistic regression by Newton's method."""
+    def calibrate(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.02) -> float:
+        """Weighted logistic regression by Newton's method; the loss that is left."""
         w = np.zeros(x.shape[1])
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -114,29 +141,72 @@ class Model:
             if np.abs(step).max() < 1e-8:
                 break
         self.weights = w
+        return float(weight @ np.logaddexp(0, np.where(y == 1, -1, 1) * (x @ w)))
 
 
-def train_dictionaries(texts: list[tuple[set[bytes], int]]) -> Model:
-    counts = (Counter(), Counter())
-    n = Counter(y for _, y in texts)
-    for words, y in texts:
-        counts[y].update({s for w in words for s in _strings(w)})
-    neg, pos = counts
-    telling = []
+def _telling(pos: Counter, neg: Counter, n: Counter) -> list[tuple[float, bytes]]:
+    """(evidence, string) of what toxic texts hold significantly oftener.
+
+    Evidence is -log of Chernoff's bound on the chance that so many of the texts with the string are toxic, times the
+    strings looked at: -log of how many such strings chance would bring.
+    """
+    q, looked_at, least = n[1] / (n[0] + n[1]), math.log(max(len(pos), 1)), -math.log(CHANCE_STRINGS[-1])
+    out = []
     for s, c in pos.items():
-        if c < MIN_TEXTS:
+        of = c + neg[s]
+        a = c / of
+        if c < MIN_TEXTS or a <= q:
             continue
-        share = (c + neg[s]) / (n[0] + n[1])
-        z = (c / n[1] - neg[s] / max(n[0], 1)) / math.sqrt(max(share * (1 - share), 1e-12) * (1 / n[1] + 1 / max(n[0], 1)))
+        evidence = of * (a * math.log(a / q) + ((1 - a) * math.log((1 - a) / (1 - q)) if a < 1 else 0)) - looked_at
         odds = math.log((c + 0.2) / (n[1] + 2)) - math.log((neg[s] + 0.2) / (n[0] + 2))
-        if z > MIN_Z and odds > MIN_LOG_ODDS:
-            telling.append((z, s))
-    toxic = b"".join(s for _, s in sorted(telling))[-TELLING_BYTES:]
+        if evidence > least and odds > MIN_LOG_ODDS:
+            out.append((evidence, s))
+    return sorted(out)
+
+
+def _count_phrases(texts: list[tuple[list[bytes], int]], known: set[bytes]) -> tuple[Counter, Counter]:
+    """Texts of each class by phrase, of phrases without known words that MIN_TEXTS toxic texts hold.
+
+    A table of hashes leaves out rarer ones, so memory is small.
+    """
+    slots = np.zeros(1 << 22, dtype=np.int32)
+    for words, y in texts:
+        if y:
+            slots[list({zlib.crc32(p) & 0x3FFFFF for p in phrases_of(words, known)})] += 1
+    pos, neg = Counter(), Counter()
+    for words, y in texts:
+        if y:
+            pos.update(p for p in phrases_of(words, known) if slots[zlib.crc32(p) & 0x3FFFFF] >= MIN_TEXTS)
+    pos = Counter({p: c for p, c in pos.items() if c >= MIN_TEXTS})
+    for words, y in texts:
+        if not y:
+            neg.update(p for p in phrases_of(words, known) if p in pos)
+    return pos, neg
+
+
+def telling_strings(texts: list[tuple[list[bytes], int]]) -> tuple[list[tuple[float, bytes]], bytes]:
+    """Strings with their evidence, at the widest of CHANCE_STRINGS, and the words of ordinary texts, the commonest last."""
+    texts = [(list(w), y) for w, y in sorted({(tuple(w), y) for w, y in texts})]  # a copy is no further evidence
+    pos, neg = Counter(), Counter()
+    n = Counter(y for _, y in texts)
+    for words, y in texts:
+        (pos if y else neg).update({s for w in set(words) for s in _strings(w)})
+    single = _telling(pos, neg, n)
+    known = {s[1:-1] for _, s in single if s.endswith(b" ")}
     usual = b"".join(s for _, s in sorted((c, s) for s, c in neg.items() if s.endswith(b" ")))
+    return sorted(single + _telling(*_count_phrases(texts, known), n)), usual
+
+
+def dictionaries_of(telling: list[tuple[float, bytes]], usual: bytes, chance: float) -> Model:
+    toxic = b"".join(s for evidence, s in telling if evidence > -math.log(chance))
     common, rest = usual[-COMMON_BYTES:], usual[:-COMMON_BYTES]
     return Model(common + toxic, common + rest[len(rest) - min(len(toxic), len(rest)) :])
 
 
+def train_dictionaries(texts: list[tuple[list[bytes], int]]) -> Model:
+    return dictionaries_of(*telling_strings(texts), CHANCE_STRINGS[0])
+
+
 def in_fold(doc_id: F.Column, folds: int, held: int) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == held, F.lit(False))
 
@@ -160,11 +230,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         (half if zlib.crc32(b"half%d" % hash_id(doc_id)) % 2 else other).append((text, y))
     if not any(y for _, y in half) or not any(y for _, y in other):
         half = other = half + other
-    model = train_dictionaries([(words_of(t), y) for t, y in half])
-    x, y = np.array([model.features(t) for t, _ in other]), np.array([y for _, y in other], dtype=float)
+    telling, usual = telling_strings([(words_of(t), y) for t, y in half])
+    y = np.array([y for _, y in other], dtype=float)
     weight = np.where(y == 1, sizes[1] / max(y.sum(), 1), sizes[0] / max((1 - y).sum(), 1))
-    model.calibrate(x, y, weight * len(y) / max(weight.sum(), 1e-9))
-    return model
+    weight *= len(y) / max(weight.sum(), 1e-9)
+    models = [dictionaries_of(telling, usual, chance) for chance in CHANCE_STRINGS]
+    losses = [m.calibrate(np.array([m.features(t) for t, _ in other]), y, weight) for m in models]
+    return models[int(np.argmin(losses))]
 
 
 def hash_id(doc_id: object) -> int:

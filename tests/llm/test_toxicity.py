@@ -67,6 +67,31 @@ def test_gains_survive_a_full_cache(monkeypatch, tables):
     assert want[b"blorgfish"] > want[b"taloren"]
 
 
+def test_order_of_ordinary_and_short_words_tells():
+    """Toxic texts hold the words of the others, in an order of their own."""
+    rng = random.Random(4)
+
+    def text(toxic):
+        words = ordinary(rng).split()
+        at = rng.randrange(len(words))
+        return " ".join(words[:at] + (["go", "to", "sulo", "ka"] if toxic else rng.choice([["ka", "go", "sulo", "to"], ["sulo", "to", "ka", "go"]])) + words[at:])
+
+    rows = [(text(i % 4 == 0), int(i % 4 == 0)) for i in range(1200)]
+    model = toxicity.train_dictionaries([(toxicity.words_of(t), y) for t, y in rows[:400]])
+    x = [model.features(t) for t, _ in rows[400:800]]
+    y = [float(y) for _, y in rows[400:800]]
+    model.calibrate(toxicity.np.array(x), toxicity.np.array(y), toxicity.np.ones(len(y)))
+    assert sum((model.score(t) >= 0.5) == y for t, y in rows[800:]) >= 380
+
+
+def test_all_telling_strings_are_kept():
+    rng = random.Random(5)
+    bad = ["".join(rng.choices("bcdfghjkpqvwxyz", k=10)) for _ in range(300)]
+    rows = [(ordinary(rng), 0) for _ in range(600)] + [(ordinary(rng) + " " + " ".join(rng.sample(bad, 40)), 1) for _ in range(300)]
+    model = toxicity.train_dictionaries([(toxicity.words_of(t), y) for t, y in rows])
+    assert sum(w.encode() in model.toxic for w in bad) >= 290
+
+
 def test_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.1"
     got = toxicity.op8_toxicity(spark, sf).join(storage.table(spark, sf, "labels"), "doc_id").where("held_out").collect()
