@@ -114,9 +114,9 @@ def subgraph_order(targets: DataFrame, edges: DataFrame, seeds: DataFrame) -> Da
     return levels(needed, edges).join(targets.select("label"), "label", "left_semi").orderBy("level", "label")
 
 
-def tree(edges: DataFrame, root: str, depth: int) -> DataFrame:
+def tree(edges: DataFrame, root: str, depth: int | None = None) -> DataFrame:
     """pos, depth, label, seen of a pre-order walk with children in order. A label already met is marked and not
-    expanded, so the walk has a row for each edge of what is reached at most."""
+    expanded, so the walk has a row for each edge of what is reached at most. Without depth it is the whole tree."""
     path = F.array(F.lit(root))
     walk = cut(edges.sparkSession.range(1).select(F.lit(root).alias("label"), path.alias("path"), F.lit(0).alias("depth"), F.lit(False).alias("seen")))
     steps = edges.select(F.col("parent").alias("_p"), F.col("dep").alias("_d")).distinct()
@@ -125,7 +125,7 @@ def tree(edges: DataFrame, root: str, depth: int) -> DataFrame:
         last = walk.agg(F.max("depth")).first()[0]
         new = walk.where((F.col("depth") == last) & ~F.col("seen")).join(steps, F.col("label") == F.col("_p"))
         new = new.select(F.col("_d").alias("label"), F.concat("path", F.array("_d")).alias("path"), (F.col("depth") + 1).alias("depth"), F.lit(False).alias("seen"))
-        if last >= depth or new.isEmpty():
+        if (depth is not None and last >= depth) or new.isEmpty():
             break
         walk = cut(_mark_repeats(walk.unionByName(new)))
     return walk.withColumn("pos", F.row_number().over(W.orderBy("path")) - 1).select("pos", "depth", "label", "seen")

@@ -271,6 +271,18 @@ def graph_tree(spark: SparkSession, d: str) -> DataFrame:
     return graph.tree(edges, "p1", 5)
 
 
+@query("""
+WITH RECURSIVE e AS (SELECT 'p' || (p_partkey // 2) AS parent, 'p' || p_partkey AS dep FROM part WHERE p_partkey > 1),
+r AS (SELECT 'p1' AS label, ['p1'] AS path, 0 AS depth UNION ALL SELECT dep, list_append(path, dep), depth + 1 FROM e JOIN r ON e.parent = r.label)
+SELECT (row_number() OVER (ORDER BY path) - 1)::INTEGER AS pos, depth::INTEGER AS depth, label, false AS seen FROM r""")
+def graph_tree_all(spark: SparkSession, d: str) -> DataFrame:
+    """All levels below part 1, children in order."""
+    at = lambda c: F.concat(F.lit("p"), c.cast("string"))
+    k = F.col("p_partkey")
+    edges = b.table(spark, d, "part").where("p_partkey > 1").select(at(F.floor(k / 2)).alias("parent"), at(k).alias("dep"))
+    return graph.tree(edges, "p1")
+
+
 @query(f"WITH {SQL_TARGETS} SELECT least(max(length(label)), 48)::INTEGER AS width FROM t")
 def column_width(spark: SparkSession, d: str) -> DataFrame:
     return graph.column_width(b.targets(spark, d))

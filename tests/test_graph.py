@@ -131,3 +131,8 @@ def test_relevance(spark):
     bins = spark.createDataFrame([("bin",)], "label string")
     got = lambda globs, wanted: sorted(r["batch"] for r in selection.relevant_batches(batches, globs, hit, wanted).collect())
     assert (got([], none), got([], bins), got(["docs/*"], none), got(["docs/*"], bins)) == ([1, 2], [1], [2], [1, 2])
+
+
+def test_tree_without_a_depth_is_whole(spark):
+    chain = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(7)], "parent string, dep string")
+    assert [(r["depth"], r["label"]) for r in graph.tree(chain, "n0").orderBy("pos").collect()] == [(i, f"n{i}") for i in range(8)]
