@@ -1,27 +1,32 @@
 """Toxicity by compression distance: windows under a dictionary of toxic text against one of ordinary text.
 
-Both zstandard dictionaries open with the words most common in ordinary texts. The toxic one goes on with all strings
-(words, word beginnings and runs of two to PHRASE words in order) that labelled toxic texts hold significantly oftener,
-the ordinary one with further ordinary words of the same length, so ordinary text compresses alike under both. Windows
-of two kinds are compared: each distinct word with its delimiters, and WINDOW words in order, every STEP words, so any
-PHRASE words in a row lie in one. What a window gains is its compressed length under the ordinary dictionary less that
-under the toxic one. Windows that gain at least GAIN bytes (WIDE_GAIN for several words) count; how many and how much
-they gain is calibrated to a score by logistic regression, on labelled texts that the dictionaries have not seen,
-weighted back to the classes' true sizes.
-
-The fit sees a bounded sample, MAX_TOXIC and MAX_ORDINARY labelled texts of MAX_TEACHING_CHARS at most; every whole text is scored. A worker keeps
-gains of words it has met, in two generations, so memory is bounded.
+zstandard trains both dictionaries (its COVER algorithm, ``train_dictionary``): the ordinary one on all pieces of
+labelled ordinary texts, the toxic one on those passages of labelled toxic texts whose byte n-grams at least MIN_TEXTS
+toxic texts hold, and FOLD times as often as ordinary texts do. Passages that both kinds share would only teach it the
+language, which the ordinary dictionary holds and which stands before it in the toxic compressor too. Every window of
+WINDOW words, from each word on, is compressed under both, followed by a PAD that costs alike under both and without
+which a window in which little matches would be stored plainly; its gain is its length under the ordinary dictionary
+less that under the toxic one. Windows that gain at least so many bytes
+(THRESHOLDS) are counted; what a text has beyond the rates of ordinary texts is calibrated to a score by logistic
+regression, weighted back to the classes' true sizes. Calibration is cross-fitted: a text is measured with dictionaries that the other half of the texts taught.
+Among the SETTINGS of the toxic dictionary the one of least loss is kept, with dictionaries taught by both halves.
+
+Words are title-cased, so a word's beginning differs in bytes from the same letters within a word.
+
+The fit sees a bounded sample, MAX_TOXIC and MAX_ORDINARY labelled texts of MAX_TEACHING_CHARS at most. One task trains
+on it, and the driver gets dictionaries and a row of numbers for each text of the sample; every whole text is scored.
 
 Defined cases: a null or empty text scores as a text without windows; repeated rows score alike; a null id belongs to
 no fold and teaches nothing; labels that disagree on an id count as toxic; without labels of both classes every score
-is 0; an empty table gives no rows; other columns are not read.
+is 0; a class with too little text for zstandard's training gets its text itself as dictionary; an empty table gives no
+rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 import math
+import random
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,212 +40,231 @@ FOLDS, HELD = 5, 0
 MAX_TOXIC, MAX_ORDINARY = 3000, 5000
 #: Longer texts are scored whole like any other, but don't teach, so the sample's size is bounded too.
 MAX_TEACHING_CHARS = 32_768
-COMMON_BYTES = 8192
-PHRASE, WINDOW, STEP = 4, 6, 3
-MIN_LOG_ODDS, MIN_TEXTS = 2.5, 3
-#: Strings expected to be taken by chance, of all looked at; the fit keeps the level that calibrates best.
-CHANCE_STRINGS = (0.01, 1.0, 100.0)
-GAIN, WIDE_GAIN = 4, 5
-CACHE_ENTRIES = 500_000
-_PAD = b"\n" * 12  # the compressor seeks no match in a block's last bytes
-_STRIP = b".,!?;:\"'()[]{}#*$%&|<>"
-
-
-def words_of(text: str | None) -> list[bytes]:
-    """Lower-case words in order."""
-    return [w for x in (text or "").lower().encode("utf-8", "surrogatepass").split() if (w := x.strip(_STRIP))]
-
-
-def windows_of(words: list[bytes]) -> Iterator[bytes]:
-    """WINDOW words each, every STEP words, to the last word; a single word is no window of several."""
-    if len(words) > 1:
-        for i in range(0, max(len(words) - WINDOW + STEP, 1), STEP):
-            yield b" " + b" ".join(words[i : i + WINDOW]) + b" "
-
-
-def phrases_of(words: list[bytes], known: set[bytes] = frozenset()) -> set[bytes]:
-    """Runs of two to PHRASE words, none of them known."""
-    return {b" " + b" ".join(p) + b" " for n in range(2, PHRASE + 1) for i in range(len(words) - n + 1) if known.isdisjoint(p := words[i : i + n])}
-
-
-def _strings(word: bytes) -> Iterator[bytes]:
-    yield b" " + word + b" "
-    for k in range(4, min(len(word), 12) + 1):
-        yield b" " + word[:k]
+ORDINARY_BYTES = 131_072
+#: Length of n-grams, MIN_TEXTS, bytes of the toxic dictionary.
+SETTINGS = ((6, 3, 1024), (6, 3, 2048), (7, 6, 1024), (7, 6, 2048))
+FOLD = 4.0
+PIECE = 32
+WINDOW, LONGEST = 2, 128
+PAD = b"\n" * 24
+THRESHOLDS = (2, 3, 4, 5, 6, 8)
+RIDGE = 0.05
+SEED = 8
+_SLICE = 1 << 15
+
+
+def clean(text: str | None) -> bytes:
+    """Title-cased words between single spaces."""
+    words = (text or "").lower().title().encode("utf-8", "surrogatepass").split()
+    return b" " + b" ".join(words) + b" " if words else b""
+
+
+def windows(data: bytes) -> list[bytes]:
+    """The window of each word of cleaned text; a word of over LONGEST bytes gives one for each LONGEST of them."""
+    spaces = np.flatnonzero(np.frombuffer(data, np.uint8) == 32).tolist()
+    last, out = len(spaces) - 1, []
+    for k, begin in enumerate(spaces[:-1]):
+        end = spaces[min(k + WINDOW, last)] + 1
+        if end - begin <= LONGEST:
+            out.append(data[begin:end] + PAD)
+        else:
+            out += [data[i : min(i + LONGEST, end)] + PAD for i in range(begin, spaces[k + 1] + 1, LONGEST)]
+    return out
+
+
+def compressor(dictionary: bytes):  # noqa: ANN201  zstandard is imported where it is used
+    """For windows: literals as they are, matches of five bytes or more, no header fields."""
+    import zstandard as z
+
+    size = max(17, len(dictionary).bit_length() + 1)  # the window reaches back over the whole dictionary
+    params = z.ZstdCompressionParameters(
+        window_log=size, hash_log=17, chain_log=17, search_log=6, min_match=5, target_length=64, strategy=z.STRATEGY_LAZY2, write_content_size=0, write_checksum=0, write_dict_id=0
+    )
+    content = z.ZstdCompressionDict(dictionary, dict_type=z.DICT_TYPE_RAWCONTENT)
+    content.precompute_compress(compression_params=params)
+    return z.ZstdCompressor(compression_params=params, dict_data=content)
+
+
+def lengths(by, some: list[bytes]) -> np.ndarray:  # noqa: ANN001
+    """Compressed lengths of windows."""
+    out = np.empty(len(some), np.int64)
+    for i in range(0, len(some), _SLICE):
+        packed = by.multi_compress_to_buffer(some[i : i + _SLICE])
+        out[i : i + _SLICE] = np.fromiter(map(len, packed), dtype=np.int64, count=len(packed))
+    return out
+
+
+def counts_of(gains: np.ndarray) -> list[float]:
+    """Windows, the highest gain, and windows that reach each of THRESHOLDS."""
+    return [float(len(gains)), float(gains.max(initial=0)), *(float((gains >= t).sum()) for t in THRESHOLDS)]
+
+
+def features_of(counts: np.ndarray, rates: np.ndarray) -> np.ndarray:
+    """Rows of counts_of as features: what reaches a threshold beyond what ordinary text of that length shows."""
+    excess = np.log1p(counts[:, 2:]) - np.log1p(counts[:, :1] * rates)
+    return np.concatenate([np.ones((len(counts), 1)), counts[:, 1:2] / 4, excess], axis=1)
 
 
 class Model:
     """Two dictionaries and the weights of the calibration; plain data, so it travels to workers."""
 
-    def __init__(self, toxic: bytes, ordinary: bytes):
-        self.toxic, self.ordinary = toxic, ordinary
+    def __init__(self, ordinary: bytes, toxic: bytes):
+        self.ordinary, self.toxic = ordinary, toxic
+        self.rates = np.zeros(len(THRESHOLDS))
         self.weights: np.ndarray | None = None
-        self._gains: dict[bytes, int] | None = None
+        self._open: tuple | None = None
 
     def __getstate__(self) -> dict:
-        return {"toxic": self.toxic, "ordinary": self.ordinary, "weights": self.weights, "_gains": None}
-
-    def _open(self) -> None:
-        import zstandard as z
-
-        size = max(len(self.toxic), len(self.ordinary)).bit_length() + 1  # the window reaches back over the whole dictionary
-        params = z.ZstdCompressionParameters(
-            window_log=max(17, size), hash_log=15, chain_log=16, search_log=9, min_match=4, target_length=64, strategy=z.STRATEGY_LAZY2, write_content_size=0, write_checksum=0, write_dict_id=0
-        )
-
-        def compressor(content: bytes) -> z.ZstdCompressor:
-            trained = z.ZstdCompressionDict(content, dict_type=z.DICT_TYPE_RAWCONTENT)
-            trained.precompute_compress(compression_params=params)
-            return z.ZstdCompressor(compression_params=params, dict_data=trained)
-
-        self._t, self._o, self._gains, self._older = compressor(self.toxic), compressor(self.ordinary), {}, {}
-
-    def _compare(self, window: bytes) -> int:
-        window += _PAD
-        return len(self._o.compress(window)) - len(self._t.compress(window))
-
-    def gain(self, word: bytes) -> int:
-        if self._gains is None:
-            self._open()
-        g = self._gains.get(word)
-        if g is None:
-            if len(self._gains) >= CACHE_ENTRIES:
-                self._older, self._gains = self._gains, {}
-            g = self._older.get(word)
-            if g is None:
-                g = self._compare(b" " + word + b" ")
-            if len(word) <= 64:
-                self._gains[word] = g
-        return g
-
-    def features(self, text: str | None) -> tuple[float, ...]:
-        if self._gains is None:
-            self._open()
-        words = words_of(text)
-        distinct = set(words)
-        gains = [g for g in map(self.gain, distinct) if g >= GAIN]
-        wide = [g for g in map(self._compare, windows_of(words)) if g >= WIDE_GAIN]
-        return (
-            1.0, max(gains, default=0) / 4, math.log1p(sum(gains)), math.log1p(sum(g > GAIN for g in gains)), math.log1p(len(distinct)) / 4,
-            max(wide, default=0) / 4, math.log1p(sum(wide)), math.log1p(sum(g > WIDE_GAIN for g in wide)),
-        )
+        return {"ordinary": self.ordinary, "toxic": self.toxic, "rates": self.rates, "weights": self.weights, "_open": None}
+
+    def gains(self, text: str | None) -> np.ndarray:
+        """Of each window, in bytes."""
+        self._open = self._open or (compressor(self.ordinary), compressor(self.ordinary + self.toxic))
+        some = windows(clean(text))
+        return lengths(self._open[0], some) - lengths(self._open[1], some)
 
     def score(self, text: str | None) -> float:
         if self.weights is None:
             return 0.0
-        x = float(np.dot(self.weights, self.features(text)))
+        x = float((features_of(np.array([counts_of(self.gains(text))]), self.rates) @ self.weights)[0])
         return 1 / (1 + math.exp(-x)) if x > -500 else 0.0
 
-    def calibrate(self, x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.02) -> float:
-        """Weighted logistic regression by Newton's method; the loss that is left."""
-        w = np.zeros(x.shape[1])
-        for _ in range(50):
-            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (weight * (y - p)) - ridge * w)
-            w += step
-            if np.abs(step).max() < 1e-8:
-                break
-        self.weights = w
-        return float(weight @ np.logaddexp(0, np.where(y == 1, -1, 1) * (x @ w)))
-
-
-def _telling(pos: Counter, neg: Counter, n: Counter) -> list[tuple[float, bytes]]:
-    """(evidence, string) of what toxic texts hold significantly oftener.
-
-    Evidence is -log of Chernoff's bound on the chance that so many of the texts with the string are toxic, times the
-    strings looked at: -log of how many such strings chance would bring.
-    """
-    q, looked_at, least = n[1] / (n[0] + n[1]), math.log(max(len(pos), 1)), -math.log(CHANCE_STRINGS[-1])
+
+def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, np.ndarray]:
+    """The loss that is left and the weights of a weighted logistic regression, by Newton's method."""
+    w = np.zeros(x.shape[1])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + RIDGE * np.eye(len(w)), x.T @ (weight * (y - p)) - RIDGE * w)
+        w += step
+        if np.abs(step).max() < 1e-8:
+            break
+    return float(weight @ np.logaddexp(0, np.where(y == 1, -1, 1) * (x @ w))), w
+
+
+def trained(samples: list[bytes], size: int, d: int, k: int) -> bytes:
+    """A dictionary that zstandard trains on samples; their text itself where they are too few for that."""
+    import zstandard as z
+
+    samples = sorted(samples)
+    random.Random(SEED).shuffle(samples)
+    while size >= 256 and len(samples) >= 8:
+        try:
+            return z.train_dictionary(size, samples, d=d, k=k).as_bytes()
+        except z.ZstdError:
+            size //= 2
+    return b"".join(samples)[-1024:]
+
+
+def _grams(data: bytes, n: int) -> np.ndarray:
+    a = np.frombuffer(data, np.uint8).astype(np.uint64)
+    if len(a) < n:
+        return np.empty(0, np.uint64)
+    code = np.zeros(len(a) - n + 1, np.uint64)
+    for j in range(n):
+        code = (code << np.uint64(8)) | a[j : len(a) - n + 1 + j]
+    return code
+
+
+def telling_passages(toxic: list[bytes], ordinary: list[bytes], n: int, min_texts: int) -> list[bytes]:
+    """Passages of toxic texts made of n-grams that min_texts of them hold, FOLD times as often as ordinary texts."""
+    if not toxic:
+        return []
+    keys, found = np.unique(np.concatenate([np.unique(_grams(b, n)) for b in toxic]), return_counts=True)
+    keys, found = keys[found >= min_texts], found[found >= min_texts]
+    if not len(keys):
+        return []
+    usual = np.zeros(len(keys))
+    for b in ordinary:
+        usual += np.isin(keys, _grams(b, n))
+    keys = keys[found > FOLD * (usual + 0.5) * len(toxic) / max(len(ordinary), 1)]
+    out = []
+    for b in toxic:
+        g = _grams(b, n)
+        told = np.zeros(len(b) + 1, np.int64)
+        tells = np.isin(g, keys)
+        told[: len(g)] += tells
+        told[n : n + len(g)] -= tells
+        edges = np.flatnonzero(np.diff(np.r_[False, np.cumsum(told[:-1]) > 0, False].astype(np.int8)))
+        out += [b[s:e] for s, e in zip(edges[::2], edges[1::2], strict=True)]
+    return out
+
+
+def half_of(text: str | None) -> int:
+    return zlib.crc32(clean(text)) >> 7 & 1
+
+
+def train_dictionaries(texts: list[tuple[str | None, int]]) -> list[tuple[int, int, bytes]]:
+    """(half, setting, dictionary) of texts with their classes: halves 0, 1, and 2 for both; setting -1 is ordinary."""
+    cleaned = sorted({(clean(t), half_of(t), y) for t, y in texts})  # a copy is no further evidence
     out = []
-    for s, c in pos.items():
-        of = c + neg[s]
-        a = c / of
-        if c < MIN_TEXTS or a <= q:
-            continue
-        evidence = of * (a * math.log(a / q) + ((1 - a) * math.log((1 - a) / (1 - q)) if a < 1 else 0)) - looked_at
-        odds = math.log((c + 0.2) / (n[1] + 2)) - math.log((neg[s] + 0.2) / (n[0] + 2))
-        if evidence > least and odds > MIN_LOG_ODDS:
-            out.append((evidence, s))
-    return sorted(out)
-
-
-def _count_phrases(texts: list[tuple[list[bytes], int]], known: set[bytes]) -> tuple[Counter, Counter]:
-    """Texts of each class by phrase, of phrases without known words that MIN_TEXTS toxic texts hold.
-
-    A table of hashes leaves out rarer ones, so memory is small.
-    """
-    slots = np.zeros(1 << 22, dtype=np.int32)
-    for words, y in texts:
-        if y:
-            slots[list({zlib.crc32(p) & 0x3FFFFF for p in phrases_of(words, known)})] += 1
-    pos, neg = Counter(), Counter()
-    for words, y in texts:
-        if y:
-            pos.update(p for p in phrases_of(words, known) if slots[zlib.crc32(p) & 0x3FFFFF] >= MIN_TEXTS)
-    pos = Counter({p: c for p, c in pos.items() if c >= MIN_TEXTS})
-    for words, y in texts:
-        if not y:
-            neg.update(p for p in phrases_of(words, known) if p in pos)
-    return pos, neg
-
-
-def telling_strings(texts: list[tuple[list[bytes], int]]) -> tuple[list[tuple[float, bytes]], bytes]:
-    """Strings with their evidence, at the widest of CHANCE_STRINGS, and the words of ordinary texts, the commonest last."""
-    texts = [(list(w), y) for w, y in sorted({(tuple(w), y) for w, y in texts})]  # a copy is no further evidence
-    pos, neg = Counter(), Counter()
-    n = Counter(y for _, y in texts)
-    for words, y in texts:
-        (pos if y else neg).update({s for w in set(words) for s in _strings(w)})
-    single = _telling(pos, neg, n)
-    known = {s[1:-1] for _, s in single if s.endswith(b" ")}
-    usual = b"".join(s for _, s in sorted((c, s) for s, c in neg.items() if s.endswith(b" ")))
-    return sorted(single + _telling(*_count_phrases(texts, known), n)), usual
-
-
-def dictionaries_of(telling: list[tuple[float, bytes]], usual: bytes, chance: float) -> Model:
-    toxic = b"".join(s for evidence, s in telling if evidence > -math.log(chance))
-    common, rest = usual[-COMMON_BYTES:], usual[:-COMMON_BYTES]
-    return Model(common + toxic, common + rest[len(rest) - min(len(toxic), len(rest)) :])
-
-
-def train_dictionaries(texts: list[tuple[list[bytes], int]]) -> Model:
-    return dictionaries_of(*telling_strings(texts), CHANCE_STRINGS[0])
+    for half in (0, 1, 2):
+        toxic, ordinary = ([b for b, h, y in cleaned if y == of and half in (h, 2) and b] for of in (1, 0))
+        out.append((half, -1, trained([b[i : i + PIECE] for b in ordinary for i in range(0, len(b), PIECE)], ORDINARY_BYTES, d=8, k=64)))
+        passages = {key: telling_passages(toxic, ordinary, *key) for key in dict.fromkeys(s[:2] for s in SETTINGS)}
+        out += [(half, i, trained(passages[s[:2]], s[2], d=6, k=16)) for i, s in enumerate(SETTINGS)]
+    return out
 
 
 def in_fold(doc_id: F.Column, folds: int, held: int) -> F.Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == held, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """From labelled rows outside the held fold: half train the dictionaries, half calibrate."""
+def teaching_texts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[DataFrame, dict[int, int]]:
+    """text and y of the sample of labelled rows outside the held fold, and the classes' sizes."""
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~in_fold(F.col(id_col), FOLDS, HELD))
     known = known.groupBy(F.col(id_col).alias("_id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("_y"))
     known = storage.materialize(known, "toxic-labels")
     sizes = {r["_y"]: r["n"] for r in known.groupBy("_y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if len(sizes) < 2:
-        return Model(b" ", b" ")
     most = {0: MAX_ORDINARY, 1: MAX_TOXIC}
-    share = F.when(F.col("_y") == 1, F.lit(most[1] / sizes[1])).otherwise(F.lit(most[0] / sizes[0]))
+    share = F.when(F.col("_y") == 1, F.lit(most[1] / sizes.get(1, 1))).otherwise(F.lit(most[0] / sizes.get(0, 1)))
     chosen = storage.materialize(known.where(F.pmod(F.xxhash64("_id"), F.lit(1_000_000)) < share * 1_000_000), "toxic-sample")
     texts = docs.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("_text"))
     short = F.coalesce(F.length("_text"), F.lit(0)) <= MAX_TEACHING_CHARS
-    rows = texts.join(chosen, F.col("_doc") == F.col("_id")).where(short).select("_id", "_text", "_y").collect()
-    half, other = [], []
-    for doc_id, text, y in sorted(rows, key=lambda r: (str(r[0]), r[1] or "")):
-        (half if zlib.crc32(b"half%d" % hash_id(doc_id)) % 2 else other).append((text, y))
-    if not any(y for _, y in half) or not any(y for _, y in other):
-        half = other = half + other
-    telling, usual = telling_strings([(words_of(t), y) for t, y in half])
-    y = np.array([y for _, y in other], dtype=float)
-    weight = np.where(y == 1, sizes[1] / max(y.sum(), 1), sizes[0] / max((1 - y).sum(), 1))
-    weight *= len(y) / max(weight.sum(), 1e-9)
-    models = [dictionaries_of(telling, usual, chance) for chance in CHANCE_STRINGS]
-    losses = [m.calibrate(np.array([m.features(t) for t, _ in other]), y, weight) for m in models]
-    return models[int(np.argmin(losses))]
+    rows = texts.join(chosen, F.col("_doc") == F.col("_id")).where(short).select(F.col("_text").alias("text"), F.col("_y").alias("y"))
+    return storage.materialize(rows, "toxic-texts"), sizes
 
 
-def hash_id(doc_id: object) -> int:
-    return zlib.crc32(str(doc_id).encode())
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    """Dictionaries and calibration from labelled rows outside the held fold."""
+    sample, sizes = teaching_texts(docs, labels, id_col, text_col, label_col)
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = [pair for batch in batches for pair in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+        kinds = [pa.int32(), pa.int32(), pa.binary()]
+        rows = train_dictionaries(texts) if len({y for _, y in texts}) == 2 else []
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else ([], [], []), kinds, strict=True)], ["half", "setting", "content"])
+
+    trained_rows = storage.map_arrow(sample.repartition(1), train, storage.schema_of(half="int", setting="int", content="binary")).collect() if len(sizes) == 2 else []
+    if not trained_rows:
+        return Model(b"", b"")
+    content = {(r["half"], r["setting"]): bytes(r["content"]) for r in trained_rows}
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ordinary = [compressor(content[h, -1]) for h in (0, 1)]
+        both = [[compressor(content[h, -1] + content[h, s]) for s in range(len(SETTINGS))] for h in (0, 1)]
+        for batch in batches:
+            out = []
+            for text in batch.column(0).to_pylist():
+                some, other = windows(clean(text)), 1 - half_of(text)
+                plain = lengths(ordinary[other], some)
+                out.append([counts_of(plain - lengths(c, some)) for c in both[other]])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.list_(pa.list_(pa.float64())))], ["y", "x"])
+
+    rows = sorted((r["y"], r["x"]) for r in storage.map_arrow(sample, measure, storage.schema_of(y="int", x="array<array<double>>")).collect())
+    y = np.array([r[0] for r in rows], dtype=float)
+    weight = np.where(y == 1, sizes[1] / max(y.sum(), 1), sizes[0] / max((1 - y).sum(), 1))
+    weight *= len(y) / max(weight.sum(), 1e-9)
+    results = []
+    for s in range(len(SETTINGS)):
+        counts = np.array([r[1][s] for r in rows])
+        usual = counts[y == 0]
+        rates = usual[:, 2:].sum(axis=0) / max(usual[:, 0].sum(), 1)
+        results.append((*calibrate(features_of(counts, rates), y, weight), rates))
+    best = min(range(len(SETTINGS)), key=lambda s: results[s][0])
+    model = Model(content[2, -1], content[2, best])
+    _, model.weights, model.rates = results[best]
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -57,17 +57,46 @@ def test_one_class_or_no_rows(spark, tables):
     assert toxicity.score_toxicity(empty, toxicity.fit(empty, labels.limit(0))).collect() == []
 
 
-def test_gains_survive_a_full_cache(monkeypatch, tables):
-    model = toxicity.Model(b"ordinary words here" + b" blorgfish ", b"ordinary words here" + b" something ")
-    want = {w: model.gain(w) for w in (b"blorgfish", b"taloren", b"ordinary", b"words")}
-    monkeypatch.setattr(toxicity, "CACHE_ENTRIES", 2)
-    again = toxicity.Model(model.toxic, model.ordinary)
-    for _ in range(3):
-        assert {w: again.gain(w) for w in want} == want
-    assert want[b"blorgfish"] > want[b"taloren"]
+def test_gains_equal_plain_compression_of_each_window(tables):
+    """Brute force: each window cut out by a loop over words and compressed by itself."""
+    docs, labels = tables
+    model = toxicity.fit(docs, labels)
+    plain, both = toxicity.compressor(model.ordinary), toxicity.compressor(model.ordinary + model.toxic)
+    for text in ["", "one", "a blorgfish Snarkwump\tof  words!", ordinary(random.Random(8), 300) + " vexhorn grumblet ", "x" * 500 + " y"]:
+        words = text.lower().title().encode().split()
+        want = []
+        for i in range(len(words)):
+            window = b" " + b" ".join(words[i : i + 2]) + b" "
+            cut = range(0, len(words[i]) + 2, 128) if len(window) > 128 else [0]
+            for at in cut:
+                part = window[at : at + 128] + b"\n" * 24
+                want.append(len(plain.compress(part)) - len(both.compress(part)))
+        assert model.gains(text).tolist() == want
+        beyond = [toxicity.math.log1p(sum(g >= t for g in want)) - toxicity.math.log1p(len(want) * r) for t, r in zip(toxicity.THRESHOLDS, model.rates, strict=True)]
+        x = [1.0, max([0, *want]) / 4, *beyond]
+        assert abs(model.score(text) - 1 / (1 + toxicity.math.exp(-sum(a * b for a, b in zip(model.weights, x, strict=True))))) < 1e-12
+
+
+def test_dictionaries_are_trained_on_their_class(tables):
+    docs, labels = tables
+    model = toxicity.fit(docs, labels)
+    assert all(w.title().encode()[:6] in model.toxic for w in BAD) and not any(w.title().encode() in model.ordinary for w in BAD)
+    assert max(model.gains("ta lo miren blorgfish suka")) >= 4 and max(model.gains("ta lo miren suka")) <= 1
+
+
+def test_too_little_text_for_training(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["good day", "vile trash", None, "", "vile trash", "fine"])], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i in (1, 4))) for i in range(6)], "doc_id long, toxic int")
+    assert all(0 <= r["score"] <= 1 for r in toxicity.score_toxicity(docs, toxicity.fit(docs, labels)).collect())
+
+
+def fitted(spark, rows):
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id long, toxic int")
+    return {r["doc_id"]: r for r in toxicity.score_toxicity(docs, toxicity.fit(docs, labels)).collect()}
 
 
-def test_order_of_ordinary_and_short_words_tells():
+def test_order_of_ordinary_and_short_words_tells(spark):
     """Toxic texts hold the words of the others, in an order of their own."""
     rng = random.Random(4)
 
@@ -77,19 +106,16 @@ def test_order_of_ordinary_and_short_words_tells():
         return " ".join(words[:at] + (["go", "to", "sulo", "ka"] if toxic else rng.choice([["ka", "go", "sulo", "to"], ["sulo", "to", "ka", "go"]])) + words[at:])
 
     rows = [(text(i % 4 == 0), int(i % 4 == 0)) for i in range(1200)]
-    model = toxicity.train_dictionaries([(toxicity.words_of(t), y) for t, y in rows[:400]])
-    x = [model.features(t) for t, _ in rows[400:800]]
-    y = [float(y) for _, y in rows[400:800]]
-    model.calibrate(toxicity.np.array(x), toxicity.np.array(y), toxicity.np.ones(len(y)))
-    assert sum((model.score(t) >= 0.5) == y for t, y in rows[800:]) >= 380
+    held = [r for r in fitted(spark, rows).values() if r["held_out"]]
+    assert sum(r["predicted"] == rows[r["doc_id"]][1] for r in held) >= 0.95 * len(held)
 
 
-def test_all_telling_strings_are_kept():
+def test_many_telling_words(spark):
     rng = random.Random(5)
     bad = ["".join(rng.choices("bcdfghjkpqvwxyz", k=10)) for _ in range(300)]
     rows = [(ordinary(rng), 0) for _ in range(600)] + [(ordinary(rng) + " " + " ".join(rng.sample(bad, 40)), 1) for _ in range(300)]
-    model = toxicity.train_dictionaries([(toxicity.words_of(t), y) for t, y in rows])
-    assert sum(w.encode() in model.toxic for w in bad) >= 290
+    held = [r for r in fitted(spark, rows).values() if r["held_out"]]
+    assert sum(r["predicted"] == rows[r["doc_id"]][1] for r in held) >= 0.97 * len(held)
 
 
 def test_held_out_accuracy(spark):
