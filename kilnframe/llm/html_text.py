@@ -1,15 +1,17 @@
 """Main text of web pages by the line-block distribution.
 
 Markup is stripped to lines, one for each block of text; elements that never hold main text (menus, headers, footers,
-sidebars, notices, adverts, forms, scripts, styles, reader comments) go with their content and leave a gap of empty
-lines. Text lengths, without link text, are summed over sliding windows of lines. A surge is where the windows rise
-from nothing, a dive where they fall back to nothing; text between a surge and its dive is kept if its windows reach
-the surge height. Where an article element, or else a main element, holds a fair share of a page's text (FRAME_SHARE),
-its lines count as long, so a short paragraph makes no dive, and other lines count as nothing.
+sidebars, notices, adverts, forms, scripts, styles, reader comments) go with their content. Where one went, and where a
+layout element begins or ends, an empty line stands, FRAME_GAP of them where an article or main element does. A line's
+height is its characters; links count for it only within article and main elements, and so do short lines that stand in
+no element of prose (PROSE). Heights are summed over sliding windows of WINDOW lines. A surge is where the windows rise
+from nothing, a dive where they fall back to nothing. Text between a surge and its dive is kept, from the first line of
+some height to the last, if its windows reach SURGE, whatever elements hold it.
 
 Defined cases: null or empty html gives an empty text; a page without any window of surge height keeps its highest
-stretch; unclosed and misnested tags end with their container; repeated rows are extracted alike; an empty table gives
-no rows; other columns are not read.
+stretch, one without any height is read with all its lines, and one all of whose text lies under a suspect name without
+regard to names; unclosed and misnested tags end with their container; repeated rows are extracted alike; an empty table
+gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,11 +27,10 @@ from pyspark.sql import functions as F
 from . import storage
 
 WINDOW = 3
-#: Characters without links that a window of a surge has at least.
+#: Height that a window of a surge has at least, and characters that give a line without an element of prose any height.
 SURGE = 80
-ARTICLE_BONUS = 1000
-#: Share of a page's text that an article or main element holds at least if it frames the main text.
-FRAME_SHARE = 0.25
+#: Empty lines at the ends of article and main elements.
+FRAME_GAP = 3
 
 # Fixed values of HTML: elements without content, elements whose content is no markup, and elements that begin a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -39,6 +40,8 @@ BLOCK = frozenset(
     "hgroup hr html legend li main menu nav object ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul video audio".split()
 )
 CHROME = frozenset("nav footer aside form head button select option menu dialog svg object video audio canvas map search fieldset label datalist".split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd blockquote pre td th caption figcaption summary address".split())
+LAYOUT = frozenset("div section table center details".split())
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar note".split())
 #: Words of class and id names that mark what isn't main text.
 CHROME_NAMES = re.compile(
@@ -60,33 +63,36 @@ _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "t
 
 
 class Lines:
-    """Lines of a page: text, characters outside links, and what holds them (2 an article, 1 main, 0 neither). Gaps are
-    empty lines."""
+    """Lines of a page: text, plain (characters outside links, 0 if few) and height. Gaps are empty lines."""
 
     def __init__(self, page: str, by_name: bool = True):
         self._by_name = by_name
         self.text: list[str] = []
-        self.weight: list[int] = []
-        self.frame: list[int] = []
+        self.plain: list[int] = []
+        self.height: list[int] = []
         self._parts: list[str] = []
         self._linked = 0
         self._stack: list[tuple[str, bool, bool, bool]] = []  # name, chrome, link, main
-        self._chrome = self._links = self._mains = self._articles = 0
+        self._chrome = self._links = self._mains = self._articles = self._prose = 0
+        self._cut = False  # the last line stands for an element that went
         self._read(page)
         self._end()
 
-    def _end(self, gap: bool = False) -> None:
+    def _end(self) -> None:
         text = " ".join(entities.unescape("".join(self._parts)).split()) if self._parts else ""
         if text:
-            self.text.append(text)
             plain = len(text) - self._linked
-            self.weight.append(plain if 5 * plain > len(text) else 0)
-            self.frame.append(2 if self._articles else int(self._mains > 0))
+            plain = plain if 5 * plain > len(text) else 0
+            self.text.append(text)
+            self.plain.append(plain)
+            self.height.append(len(text) if self._mains else plain if self._prose or plain >= SURGE else 0)
+            self._cut = False
         self._parts, self._linked = [], 0
-        if gap:
-            self.text += [""] * WINDOW
-            self.weight += [0] * WINDOW
-            self.frame += [0] * WINDOW
+
+    def _gap(self, lines: int) -> None:
+        self.text += [""] * lines
+        self.plain += [0] * lines
+        self.height += [0] * lines
 
     def _data(self, text: str) -> None:
         if text and not self._chrome:
@@ -107,12 +113,27 @@ class Lines:
                 named = self._by_name and not main and any(CHROME_NAMES.search(_CAMEL.sub("-", x)) for x in names.split() if not x.lower().startswith(LAYOUT_NAMES))
                 chrome = chrome or role in CHROME_ROLES or hidden or named
         if name in BLOCK or chrome or main:
-            self._end(gap=(chrome and not self._chrome) or (main and not self._mains))
+            self._end()
+            self._edge(name, chrome, main)
         self._stack.append((name, chrome, name == "a", main))
         self._chrome += chrome
         self._links += name == "a"
         self._mains += main
         self._articles += name == "article"
+        self._prose += name in PROSE
+
+    def _edge(self, name: str, chrome: bool, main: bool) -> None:
+        """The empty lines where an element begins or ends, seen from outside it."""
+        if self._chrome:
+            return
+        if chrome:
+            if not self._cut:
+                self._gap(1)
+            self._cut = True
+        elif (main and not self._mains) or (name == "article" and not self._articles):
+            self._gap(FRAME_GAP)
+        elif name in LAYOUT and not self._mains:
+            self._gap(1)
 
     def _pop(self) -> None:
         name, chrome, link, main = self._stack.pop()
@@ -122,8 +143,9 @@ class Lines:
         self._links -= link
         self._mains -= main
         self._articles -= name == "article"
-        if (chrome and not self._chrome) or (main and not self._mains):
-            self._end(gap=True)
+        self._prose -= name in PROSE
+        if name in BLOCK or chrome or main:
+            self._edge(name, chrome, main)
 
     def _close(self, name: str) -> None:
         for depth in range(len(self._stack) - 1, -1, -1):
@@ -188,30 +210,29 @@ class Lines:
                 self._open(name, m[3])
 
 
-def _stretches(height: list[int]) -> list[tuple[int, int, int]]:
-    """(highest window, first line, line after the last) between each surge and its dive."""
-    found, start, last = [], None, 0
-    sums = [sum(height[max(0, i - WINDOW + 1) : i + 1]) for i in range(len(height))]  # windows that end in each line
-    for i, total in enumerate([*sums, 0]):
+def stretches(height: list[int], window: int) -> list[tuple[int, int, int]]:
+    """(highest window, first line of some height, line after the last) between each surge and its dive."""
+    found, first, last, top, total = [], None, 0, 0, 0
+    for i in range(len(height) + window):
+        total += (height[i] if i < len(height) else 0) - (height[i - window] if i >= window else 0)
         if total > 0:
-            start = i if start is None else start
-            last = i if height[i] else last
-        elif start is not None:
-            found.append((max(sums[start : last + 1]), start, last + 1))
-            start = None
+            first = i if first is None else first
+            last = i if i < len(height) and height[i] else last
+            top = max(top, total)
+        elif first is not None:
+            found.append((top, first, last + 1))
+            first, top = None, 0
     return found
 
 
 def main_text(page: str | None) -> str:
     """Blocks between surges and dives, in page order, joined by line breaks."""
-    for by_name in (True, False):  # a page all of whose text lies under a suspect name is read without names
+    for by_name in (True, False):
         lines = Lines(page or "", by_name)
-        held = [sum(w for w, f in zip(lines.weight, lines.frame, strict=True) if f >= least) for least in range(3)]
-        framed = next((f for f in (2, 1) if held[f] and held[f] >= FRAME_SHARE * held[0]), 0)
-        height = [(w + ARTICLE_BONUS) * (f >= framed) if framed and t else w * (not framed) for w, f, t in zip(lines.weight, lines.frame, lines.text, strict=True)]
-        if stretches := _stretches(height):
-            least = min(SURGE, max(s[0] for s in stretches))
-            return "\n".join(lines.text[i] for top, a, b in stretches if top >= least for i in range(a, b) if lines.text[i] and (height[i] or not framed))
+        for height in (lines.height, lines.plain, [len(t) for t in lines.text]):
+            if found := stretches(height, WINDOW):
+                least = min(SURGE, max(top for top, _, _ in found))
+                return "\n".join(t for top, a, b in found if top >= least for t in lines.text[a:b] if t)
     return ""
 
 

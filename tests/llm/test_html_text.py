@@ -2,6 +2,8 @@ import html
 import re
 
 import pytest
+from hypothesis import given
+from hypothesis import strategies as st
 
 from kilnframe.llm import html_text, storage
 from kilnframe.llm.html_text import main_text
@@ -44,12 +46,58 @@ def test_very_long_page():
     assert main_text(page) == "\n".join(f"Line {i}." for i in range(20_000))
 
 
+def brute_force(heights, window):
+    """Lines between the zero windows around them, one line at a time."""
+    sums = [sum(heights[max(0, i - window + 1) : i + 1]) for i in range(len(heights))]
+    kept = set()
+    for i, h in enumerate(heights):
+        if h:
+            a = i
+            while a > 0 and sums[a - 1] > 0:
+                a -= 1
+            b = i
+            while b + 1 < len(heights) and sums[b + 1] > 0:
+                b += 1
+            some = [j for j in range(a, b + 1) if heights[j]]
+            kept.add((max(sums[a : b + 1]), some[0], some[-1] + 1))
+    return sorted(kept, key=lambda s: s[1])
+
+
+@given(st.lists(st.sampled_from([0, 0, 1, 7, 90]), max_size=40), st.integers(1, 6))
+def test_stretches_against_brute_force(heights, window):
+    assert html_text.stretches(heights, window) == brute_force(heights, window)
+
+
 def test_windows_surge_and_dive():
-    lines = html_text.Lines("<p>tiny</p>" + "<div>" * 3 + f"<p>{LONG}</p><p>{LONG}</p>")
-    assert html_text._stretches(lines.weight) == [(len("tiny") + 2 * len(LONG), 0, 3)]
-    gapped = html_text.Lines(f"<p>tiny</p><nav>menu</nav><p>{LONG}</p>")
-    assert [s[1:] for s in html_text._stretches(gapped.weight)] == [(0, 1), (len(gapped.text) - 1, len(gapped.text))]
-    assert main_text(f"<p>tiny</p><nav>menu</nav><p>{LONG}</p>") == LONG
+    assert main_text(f"<p>tiny</p><nav>menu</nav><p>{LONG}</p>") == f"tiny\n{LONG}"  # what an element leaves is no dive
+    apart = "<div><div><div><p>tiny</p></div></div></div>" + f"<p>{LONG}</p>"
+    assert main_text(apart) == LONG
+    assert html_text.stretches([5, 0, 0, 100, 0, 7], 3) == [(107, 0, 6)]
+    assert html_text.stretches([5, 0, 0, 0, 100, 0, 7], 3) == [(5, 0, 1), (107, 4, 7)]
+
+
+def test_window_and_surge_decide(monkeypatch):
+    page = f"<p>tiny</p><div></div><p>{LONG}</p><div><div><div><p>Some thirty characters of text</p></div></div></div>"
+    assert main_text(page) == f"tiny\n{LONG}"
+    monkeypatch.setattr(html_text, "SURGE", 20)
+    assert main_text(page) == f"tiny\n{LONG}\nSome thirty characters of text"
+    monkeypatch.setattr(html_text, "SURGE", 80)
+    monkeypatch.setattr(html_text, "WINDOW", 1)
+    assert main_text(page) == LONG
+    monkeypatch.setattr(html_text, "WINDOW", 9)
+    assert main_text(page) == f"tiny\n{LONG}\nSome thirty characters of text"
+
+
+@pytest.mark.parametrize("wrap", ["<div>{}</div>", "<section>{}</section>", "<div class='x1'><div>{}</div></div>", "<table><tr><td>{}</td></tr></table>", "{}"])
+def test_pages_without_article_or_telling_names(wrap):
+    page = "<html><body><div><a href=/>Home</a> <a href=/a>About</a></div><div>Welcome to site X, login here</div>" + wrap.format(f"<h1>T</h1><p>{LONG}</p><p>Short.</p><p>{LONG}</p><p>End.</p>") + "<div>Read also: ten things.</div></body></html>"
+    assert main_text(page) == f"T\n{LONG}\nShort.\n{LONG}\nEnd."
+
+
+def test_article_is_no_frame():
+    """A long paragraph outside the article is text too, and short blocks stay across what went."""
+    assert main_text(f"<article><p>{LONG}</p></article><div><p>{LONG}</p></div>") == f"{LONG}\n{LONG}"
+    assert main_text(f"<article><h1>T</h1><div class=share>x</div><nav>y</nav><p>{LONG}</p><div class=ad>z</div><div class=ad>z</div><form>f</form><p>Short end.</p></article>") == f"T\n{LONG}\nShort end."
 
 
 def test_frame(spark):
