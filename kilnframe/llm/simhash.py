@@ -24,7 +24,6 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import storage
@@ -340,21 +339,33 @@ def near_duplicates(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id",
 
 
 def deduplicated(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """The row of docs that names its component, for each component: one text of every group of near-duplicates.
+    """One row of docs for each component: of the rows that have its id (or none, where no row has one), that of the
+    least fingerprint, then of the least text hash; of equal rows any.
 
-    Of rows that share the id one stays. A component without any id keeps one row as well.
+    Decisions are made on (id, fingerprint, text hash). Texts are read again and joined with the keys of rows that go,
+    which the planner broadcasts if their written table lies under its threshold.
     """
-    found = storage.materialize(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    known = classes(found, limit)
-    keep = known.where("component_id IS NOT NULL").select(F.col("component_id").alias("_keep")).distinct()
     names = [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.select(F.struct(*names).alias("row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    named = rows.join(keep, F.col("_id") == F.col("_keep"), "left_semi")
-    one = named.withColumn("_n", F.row_number().over(W.partitionBy("_id").orderBy("_text"))).where("_n = 1").select("row.*")
-    nameless = storage.materialize(fingerprints(rows.where("_id IS NULL").select(F.struct("row").alias("doc_id"), "_text"), "doc_id", "_text", shingle), "nameless")
-    alone = nameless.join(known.where("component_id IS NULL"), "fp")
-    first = alone.withColumn("_n", F.row_number().over(W.partitionBy("root").orderBy("fp"))).where("_n = 1").select("doc_id.row.*")
-    return one.unionByName(first)
+    rows = docs.select(F.struct(*names).alias("row"), F.col(f"`{id_col}`").alias("_id"), F.col(f"`{text_col}`").alias("_text"))
+    rows = rows.withColumn("_hash", F.xxhash64("_text", F.lit(SEED)))
+    keyed = rows.select(F.struct(F.col("_id").alias("id"), F.col("_hash").alias("hash")).alias("doc_id"), "_text")
+    found = storage.materialize(fingerprints(keyed, "doc_id", "_text", shingle).select(F.col("doc_id.id").alias("doc_id"), F.col("doc_id.hash").alias("hash"), "fp"), "fingerprints")
+    known = classes(found, limit)
+    placed = storage.materialize(found.groupBy("doc_id", "hash", "fp").agg(F.count(F.lit(1)).alias("n")).join(known, "fp"), "placed")
+    first = placed.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("fp", "hash")).alias("first"))
+    verdict = placed.join(first, "root").select(
+        F.col("doc_id").alias("_out_id"), F.col("hash").alias("_out_hash"),
+        (~F.col("doc_id").eqNullSafe(F.col("component_id")) | (F.struct("fp", "hash") != F.col("first"))).alias("goes"), (F.col("n") > 1).alias("repeats"),
+    )
+    verdict = storage.materialize(verdict.where("goes OR repeats"), "verdicts")
+    same = F.col("_id").eqNullSafe(F.col("_out_id")) & (F.col("_hash") == F.col("_out_hash"))
+    # Rows are equal by id and text hash; the few keys that stay and repeat are settled by an aggregate of their rows.
+    once = rows.join(verdict.select("_out_id", "_out_hash"), same, "left_anti").select("row.*")
+    repeated = verdict.where("repeats AND NOT goes")
+    if repeated.isEmpty():
+        return once
+    one = rows.join(repeated.select("_out_id", "_out_hash"), same, "left_semi").groupBy("_id", "_hash").agg(F.first("row").alias("row"))
+    return once.unionByName(one.select("row.*"))
 
 
 def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

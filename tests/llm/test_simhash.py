@@ -129,6 +129,31 @@ def test_near_duplicates_match_brute_force(spark):
     assert sorted(i for i in ids if i is not None) == sorted(set(least.values())) and ids.count(None) == 1
 
 
+def test_deduplicated_keeps_one_text_of_each_component(spark):
+    """Brute force over shared ids with different texts, null ids and texts, repeats and near copies."""
+    rng = random.Random(11)
+    base = [" ".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=300)) for _ in range(12)]
+    rows = [(3, base[0]), (5, base[0]), (5, base[1]), (5, base[1]), (None, base[2]), (None, base[2]), (None, base[3]), (9, base[3]), (4, None), (6, ""), (None, None), (8, base[4]), (8, base[5]), (7, base[5])]
+    rows += [(rng.choice([None, *range(10, 30)]), rng.choice(base[6:]) + " z" * rng.randrange(2)) for _ in range(80)]
+    root = components({reference_fp(t) for _, t in rows})
+    of = lambda t: root[reference_fp(t)]
+    least = {}
+    for i, t in rows:
+        least.setdefault(of(t), []).append((i is None, i or 0))
+    kept = [(r["doc_id"], r["text"]) for r in simhash.deduplicated(frame(spark, rows)).collect()]
+    assert sorted(of(t) for _, t in kept) == sorted(least)  # one row of each component, none lost
+    assert set(kept) <= set(rows)
+    assert all((i is None, i or 0) == min(least[of(t)]) for i, t in kept)
+    assert (3, base[0]) in kept and (5, base[1]) in kept and (9, base[3]) in kept
+
+
+def test_texts_are_joined_by_key_alone(spark):
+    """No exchange of the plan carries the text, as the verdicts are small."""
+    rows = [(i, f"{i} " * 40) for i in range(50)] + [(100 + i, "same text again and again") for i in range(20)]
+    plan = simhash.deduplicated(frame(spark, rows))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
 def test_empty(spark):
     assert simhash.near_duplicates(frame(spark, [])).collect() == []
     assert simhash.deduplicated(frame(spark, [])).collect() == []
