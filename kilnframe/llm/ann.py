@@ -1,18 +1,20 @@
 """Nearest neighbours by randomly rotated one-bit codes.
 
-A vector less the centre is rotated, padded to CODE_BITS, and kept as the signs of its coordinates (packed bits) with
-two scalars: its length and the inner product of its unit vector with its code. For a query, the code's inner product
+A vector less a centre is rotated, padded to CODE_BITS, and kept as the signs of its coordinates (packed bits) with two
+scalars: its length and the inner product of its unit vector with its code. For a query, the code's inner product
 divided by that scalar estimates the true one without bias, within an error bound that shrinks with CODE_BITS. In each
-block a vector is reranked, by its exact distance, if the lower bound of its distance does not exceed the k-th smallest
-upper bound. The centre comes from a bounded sample; every vector is indexed.
+block the k vectors of smallest estimate are compared exactly first; of the others those are reranked, by their exact
+distance, whose lower bound does not exceed the k-th of these distances, or whose bound is not finite. The centre is the
+block's median (of at most SAMPLE of its vectors); every vector is coded.
 
 Queries and vectors are dealt into blocks of bounded size, and each block of queries meets each block of vectors in
 one task, so memory doesn't grow with either. A task sends k rows for each of its queries at most.
 
 Defined cases: a vector that is null, empty, all zero, or holds a null or non-finite component takes no part, nor does
-a null id, nor a vector of another dimension than the most frequent (ties: the larger); rows that share an id are
-one vector (the least in array order); ties of distance go to the smaller id; fewer candidates than k give all of
-them; an empty table gives no rows; other columns are not read.
+a null id; vectors of different dimensions are no neighbours of each other; every other row is a candidate, also one that
+shares the query's id or vector, and rows that share an id are queries of their own under it; ties of distance go to the
+smaller id; distances beyond double precision are infinite; fewer candidates than k give all of them; an empty table
+gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,11 +34,11 @@ K = 10
 EVERY = 100
 CODE_BITS = 256
 #: Standard errors of the estimate that a bound spans.
-EPSILON = 4.0
-SAMPLE = 4096
+EPSILON = 1.2
+SAMPLE = 1024
 #: Vectors and queries that meet in one task at most; fewer vectors, down to LEAST_BLOCK, if tasks would stand idle.
 BLOCK, LEAST_BLOCK = 65_536, 4_096
-QUERY_BLOCK = 8_192
+QUERY_BLOCK = 32_768
 _CHUNK = 64
 SEED = 20
 
@@ -47,54 +49,75 @@ def rotation(dim: int, bits: int, seed: int = SEED) -> np.ndarray:
     return (q * np.sign(np.diag(r)))[:dim]
 
 
+def lengths(rows: np.ndarray) -> np.ndarray:
+    """Euclidean lengths, whatever the exponents."""
+    most = np.abs(rows).max(axis=1, initial=0)
+    with np.errstate(over="ignore"):
+        return most * np.linalg.norm(rows / np.where(most > 0, most, 1.0)[:, None], axis=1)
+
+
 class Codes:
     """Packed one-bit codes of vectors, with the scalars that turn code products into estimates."""
 
     def __init__(self, vectors: np.ndarray, centre: np.ndarray, turn: np.ndarray):
-        moved = (vectors - centre) @ turn
         self.bits = turn.shape[1]
-        self.length = np.linalg.norm(moved, axis=1)
-        self.packed = np.packbits(moved > 0, axis=1)
-        unit = moved / np.maximum(self.length, 1e-30)[:, None]
+        moved = vectors / 2 - centre / 2  # halves, so no difference overflows
+        half = lengths(moved)
+        unit = (moved / np.where(half > 0, half, 1.0)[:, None]) @ turn
+        self.length = 2 * half
+        self.packed = np.packbits(unit > 0, axis=1)
         # <code, unit> with the code scaled to a unit vector; for a vector in the centre any value serves
-        self.match = np.where(self.length > 0, np.abs(unit).sum(axis=1) / np.sqrt(self.bits), 1.0)
-
-    def bounds(self, query: np.ndarray, epsilon: float) -> tuple[np.ndarray, np.ndarray]:
-        """Lower and upper bounds of squared distances to moved queries (rows)."""
-        q_length = np.linalg.norm(query, axis=1)
-        unit = (query / np.maximum(q_length, 1e-30)[:, None]).astype(np.float32)
-        signs = np.unpackbits(self.packed, axis=1).astype(np.float32)
-        product = (2 * (unit @ signs.T) - unit.sum(axis=1)[:, None]) / np.sqrt(self.bits)
-        cosine = product / self.match
-        slack = epsilon * np.sqrt(np.maximum(1 - self.match**2, 0)) / self.match / np.sqrt(self.bits - 1) + 1e-6
-        base = q_length[:, None] ** 2 + self.length**2
-        scale = 2 * q_length[:, None] * self.length
-        return base - scale * (cosine + slack), base - scale * (cosine - slack)
+        self.match = np.where(half > 0, np.abs(unit).sum(axis=1) / np.sqrt(self.bits), 1.0)
+        self._signs: np.ndarray | None = None
+
+    def estimates(self, length: np.ndarray, unit: np.ndarray, epsilon: float) -> tuple[np.ndarray, np.ndarray]:
+        """Estimated squared distances to queries (lengths and rotated unit vectors from the centre) and lower bounds."""
+        if self._signs is None:  # unpacked once for all queries of the block
+            self._signs = np.unpackbits(self.packed, axis=1).astype(np.float32).T
+        unit = unit.astype(np.float32)
+        product = (2 * (unit @ self._signs) - unit.sum(axis=1)[:, None]) / np.sqrt(self.bits)
+        with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+            slack = epsilon * np.sqrt(np.maximum(1 - self.match**2, 0)) / self.match / np.sqrt(self.bits - 1) + 1e-6
+            base = length[:, None] ** 2 + self.length**2
+            scale = 2 * length[:, None] * self.length
+            near = base - scale * (product / self.match)
+            return near, near - scale * slack
 
 
 def exact(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """Euclidean distances in double precision, squares summed in component order."""
     total = np.zeros(len(vectors))
-    for j in range(len(query)):
-        d = vectors[:, j] - query[j]
-        total += d * d
+    with np.errstate(over="ignore"):
+        for j in range(len(query)):
+            d = vectors[:, j] - query[j]
+            total += d * d
     return np.sqrt(total)
 
 
-def nearest(codes: Codes, ids: np.ndarray, vectors: np.ndarray, q_ids: np.ndarray, queries: np.ndarray, centre: np.ndarray, turn: np.ndarray, k: int, epsilon: float) -> list[tuple[np.ndarray, ...]]:
-    """(query ids, ids, distances) of the k nearest of this block to each query, its own row left out."""
-    out = []
+def nearest(rows: np.ndarray, ids: np.ndarray, vectors: np.ndarray, q_rows: np.ndarray, queries: np.ndarray, turn: np.ndarray, k: int, epsilon: float, seen: list | None = None) -> list[tuple[np.ndarray, ...]]:
+    """(query rows, ids, distances) of the k nearest of this block to each query, its own row left out. ``seen`` gets
+    the number of vectors that were compared exactly, for each query."""
+    centre = np.median(vectors[:: max(1, len(vectors) // SAMPLE)], axis=0)
+    codes, out = Codes(vectors, centre, turn), []
     for at in range(0, len(queries), _CHUNK):
-        some = slice(at, at + _CHUNK)
-        low, high = codes.bounds((queries[some] - centre) @ turn, epsilon)
-        own = ids[None, :] == q_ids[some, None]
-        low[own] = high[own] = np.inf
-        kth = np.partition(high, k - 1, axis=1)[:, k - 1] if high.shape[1] > k else np.full(len(high), np.inf)
-        for i in range(len(high)):
-            pick = np.flatnonzero((low[i] <= kth[i]) & ~own[i])
+        moved = queries[at : at + _CHUNK] / 2 - centre / 2
+        half = lengths(moved)
+        guess, low = codes.estimates(2 * half, (moved / np.where(half > 0, half, 1.0)[:, None]) @ turn, epsilon)
+        for i in range(len(moved)):
+            others = rows != q_rows[at + i]
+            unsure = ~(np.isfinite(guess[i]) & np.isfinite(low[i]))
+            order = np.where(others, np.where(unsure, -np.inf, guess[i]), np.inf)
+            first = np.argpartition(order, k - 1)[:k] if len(order) > k else np.arange(len(order))
+            first = first[others[first]]
+            reach = np.sort(exact(queries[at + i], vectors[first]))[k - 1] if len(first) >= k else np.inf
+            with np.errstate(over="ignore"):
+                pick = np.flatnonzero(others & (unsure | (low[i] <= reach * reach * (1 + 1e-9))))
+            pick = np.union1d(pick, first)
             distance = exact(queries[at + i], vectors[pick])
             best = np.lexsort((ids[pick], distance))[:k]
-            out.append((np.full(len(best), q_ids[at + i]), ids[pick][best], distance[best]))
+            out.append((np.full(len(best), q_rows[at + i]), ids[pick][best], distance[best]))
+            if seen is not None:
+                seen.append(len(pick))
     return out
 
 
@@ -107,40 +130,38 @@ def search(vectors: DataFrame, is_query: Column, k: int = K, id_col: str = "vec_
     """query_id, rank, vec_id, score: the k nearest other rows of every row that is_query selects."""
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
-    rows = storage.materialize(rows.groupBy("id").agg(F.min("v").alias("v")).withColumn("is_query", F.coalesce(is_query, F.lit(False))), "vectors")
-    dims = rows.groupBy(F.size("v").alias("dim")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("is_query").cast("long")).alias("q"))
-    head = dims.orderBy(F.desc("n"), F.desc("dim")).limit(1).collect()
-    if not head:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim, n, n_queries = head[0]
-    rows = rows.where(F.size("v") == dim)
-    sample = np.array([r["v"] for r in rows.where(F.pmod(F.xxhash64("id"), F.lit(n)) < SAMPLE).select("v").limit(2 * SAMPLE).collect()])
-    centre, bits = (sample.mean(axis=0) if len(sample) else np.zeros(dim)), max(code_bits, dim)
-    turn = rotation(dim, bits)
-    blocks = max(-(-n // BLOCK), min(spark.sparkContext.defaultParallelism, -(-n // LEAST_BLOCK)))
-    q_blocks = max(1, -(-n_queries // QUERY_BLOCK))
-    deal = F.xxhash64("id", F.lit(1))
+    rows = rows.select(F.monotonically_increasing_id().alias("row"), "id", "v", F.size("v").alias("dim"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
+    rows = storage.materialize(rows, "vectors")  # written once, so a row keeps its number
+    ask = F.col("n_queries")
+    sizes = rows.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("is_query").cast("long")).alias("n_queries")).where(ask > 0)
+    least = F.least(F.lit(spark.sparkContext.defaultParallelism), F.ceil(F.col("n") / LEAST_BLOCK))
+    deals = sizes.select(F.col("dim").alias("_dim"), F.greatest(F.ceil(F.col("n") / BLOCK), least).cast("long").alias("blocks"), F.ceil(ask / QUERY_BLOCK).cast("long").alias("q_blocks"))
+    dealt = rows.join(storage.materialize(deals, "deals"), F.col("dim") == F.col("_dim"))
+    mine, mine_q = F.pmod(F.xxhash64("row"), F.col("blocks")), F.pmod(F.xxhash64("row"), F.col("q_blocks"))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
     sides = [
-        rows.select("id", "v", F.lit(False).alias("asks"), F.pmod(deal, F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1))).alias("q_block")),
-        rows.where("is_query").select("id", "v", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(deal, F.lit(q_blocks)).alias("q_block")),
+        dealt.select("row", "id", "v", "dim", F.lit(False).alias("asks"), mine.alias("block"), every(F.col("q_blocks")).alias("q_block")),
+        dealt.where("is_query").select("row", "id", "v", "dim", F.lit(True).alias("asks"), every(F.col("blocks")).alias("block"), mine_q.alias("q_block")),
     ]
-    kinds = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+    kinds = pa.schema([("query_row", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
     def meet(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        ids, asks = table["id"].to_numpy(), table["asks"].to_numpy()
-        v = table["v"].combine_chunks().flatten().to_numpy().reshape(-1, dim)
+        numbers, ids, asks = table["row"].to_numpy(), table["id"].to_numpy(), table["asks"].to_numpy()
         found = []
         if asks.any() and not asks.all():
-            stored = v[~asks]
-            found = nearest(Codes(stored, centre, turn), ids[~asks], stored, ids[asks], v[asks], centre, turn, k, epsilon)
+            dim = table["dim"][0].as_py()
+            v = table["v"].combine_chunks().flatten().to_numpy().reshape(-1, dim)
+            found = nearest(numbers[~asks], ids[~asks], v[~asks], numbers[asks], v[asks], rotation(dim, max(code_bits, dim)), k, epsilon)
         columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [np.empty(0)] * 3
         return pa.table([pa.array(c).cast(f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
 
     ship(spark)
-    local = sides[0].unionByName(sides[1]).groupBy("block", "q_block").applyInArrow(meet, "query_id long, vec_id long, score double")
-    order = F.row_number().over(W.partitionBy("query_id").orderBy("score", "vec_id"))
-    return local.withColumn("rank", order).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    local = sides[0].unionByName(sides[1]).groupBy("dim", "block", "q_block").applyInArrow(meet, "query_row long, vec_id long, score double")
+    order = F.row_number().over(W.partitionBy("query_row").orderBy("score", "vec_id"))
+    best = local.withColumn("rank", order).where(F.col("rank") <= k)
+    names = rows.where("is_query").select(F.col("row").alias("query_row"), F.col("id").alias("query_id"))
+    return best.join(names, "query_row").select("query_id", "rank", "vec_id", "score")
 
 
 def op2_ann_onebit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,13 +169,12 @@ def op2_ann_onebit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP2_SQL = """
-WITH v AS (
-  SELECT vec_id, min(embedding::DOUBLE[]) AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0 AND len([x for x in embedding if x <> 0]) > 0
-  GROUP BY vec_id),
-d AS (SELECT len(e) AS dim FROM v GROUP BY 1 ORDER BY count(*) DESC, 1 DESC LIMIT 1),
-u AS (SELECT v.* FROM v, d WHERE len(e) = dim),
-p AS (SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_sum([(z[1] - z[2]) * (z[1] - z[2]) for z in list_zip(q.e, c.e)])) AS score FROM u q JOIN u c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
-r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id))::INTEGER AS rank FROM p)
+WITH u AS (
+  SELECT row_number() OVER () AS n, vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0 AND len([x for x in embedding if x <> 0]) > 0),
+p AS (
+  SELECT q.n, q.vec_id AS query_id, c.vec_id, sqrt(list_sum([(z[1] - z[2]) * (z[1] - z[2]) for z in list_zip(q.e, c.e)])) AS score
+  FROM u q JOIN u c ON q.n <> c.n AND len(q.e) = len(c.e) WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, (row_number() OVER (PARTITION BY n ORDER BY score, vec_id))::INTEGER AS rank FROM p)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
 """

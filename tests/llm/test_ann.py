@@ -11,7 +11,8 @@ SCHEMA = "vec_id long, embedding array<float>, id string, v int, is_query boolea
 def distance(x, y):
     total = 0.0
     for a, b in zip(x, y, strict=True):
-        total += (a - b) * (a - b)
+        d = float(a) - float(b)
+        total += d * d
     return math.sqrt(total)
 
 
@@ -35,10 +36,30 @@ def test_edge_cases(spark):
         (0, [1.0, 0.0]), (1, [1.0, 1.0]), (2, [1.0, 1.0]), (3, [0.0, 0.0]), (4, None), (5, [math.nan, 1.0]), (6, [math.inf, 0.0]), (7, [None, 1.0]), (8, [1.0, 2.0, 3.0]), (9, []), (None, [1.0, 1.0]), (1, [1.0, 1.0]), (10, [0.0, 3.0]),
     ]
     df = spark.createDataFrame([(i, v, "x", 1, None) for i, v in rows], SCHEMA)
-    got = found(ann.search(df, F.col("id") % 10 == 0, k=2))
-    assert {q: [i for i, _ in v] for q, v in got.items()} == {0: [1, 2], 10: [1, 2]}  # ties: the smaller id
+    got = found(ann.search(df, F.col("id") % 10 == 0, k=3))
+    assert {q: [i for i, _ in v] for q, v in got.items()} == {0: [1, 1, 2], 10: [1, 1, 2]}  # ties: the smaller id; rows that share an id are candidates each
     assert got[0][0][1] == 1.0
-    assert [len(v) for v in found(ann.search(df, F.col("id") == 0, k=10)).values()] == [3]
+    assert [len(v) for v in found(ann.search(df, F.col("id") == 0, k=10)).values()] == [4]
+
+
+def test_rows_that_share_an_id_and_minor_dimensions(spark):
+    rows = [(10, [1.0, 0.0]), (10, [4.0, 0.0]), (11, [2.0, 0.0]), (20, [1.0, 2.0, 3.0]), (21, [1.0, 2.0, 4.0]), (22, [9.0])]
+    df = spark.createDataFrame([(i, v, "x", 1, None) for i, v in rows], SCHEMA)
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in ann.search(df, F.col("id") % 10 == 0, k=5).collect())
+    assert got == [(10, 1, 11, 1.0), (10, 1, 11, 2.0), (10, 2, 10, 3.0), (10, 2, 10, 3.0), (20, 1, 21, 1.0)]
+
+
+def test_huge_and_tiny_components(spark):
+    rng = np.random.default_rng(5)
+    schema = "vec_id long, embedding array<double>"
+    vectors = {i: rng.standard_normal(4).tolist() for i in range(60)}
+    vectors |= {60: [1e200, 0.0, 0.0, 0.0], 61: [-1.7e308, 1.7e308, 0.0, 1.0], 62: [1e-200, 0.0, 0.0, 0.0], 63: [1e-200, 1e-300, 0.0, 0.0]}
+    want = {}
+    for q in (0, 10, 60, 61):
+        rows = [(distance(vectors[q], v), i) for i, v in vectors.items() if i != q]
+        want[q] = [(i, s) for s, i in sorted(rows)[:10]]
+    got = found(ann.search(spark.createDataFrame(list(vectors.items()), schema), F.col("id").isin(0, 10, 60, 61)))
+    assert got == want
 
 
 def test_empty(spark):
@@ -59,17 +80,34 @@ def test_blocks_agree_with_brute_force(spark, monkeypatch):
     assert found(ann.search(df, F.col("id") % 10 == 0, k=5)) == brute(vectors, queries, 5)
 
 
-def test_bounds_hold_and_select():
+def test_bounds_hold():
     rng = np.random.default_rng(0)
     x, q = rng.standard_normal((3000, 32)), rng.standard_normal((20, 32))
     turn, centre = ann.rotation(32, 256), x.mean(axis=0)
     codes = ann.Codes(x, centre, turn)
     assert codes.packed.shape == (3000, 32)  # 256 bits
-    low, high = codes.bounds((q - centre) @ turn, ann.EPSILON)
+    length = np.linalg.norm(q - centre, axis=1)
+    guess, low = codes.estimates(length, ((q - centre) @ turn) / length[:, None], ann.EPSILON)
     true = ((x[None] - q[:, None]) ** 2).sum(axis=2)
-    assert ((low <= true + 1e-6) & (true <= high + 1e-6)).mean() > 0.999
-    kth = np.partition(high, 9, axis=1)[:, 9]
-    assert (low <= kth[:, None]).mean() < 0.5  # the bounds spare most of the exact distances
+    assert (low <= true + 1e-6).mean() > 0.85  # EPSILON standard errors, one-sided
+    assert abs((guess - true).mean()) < 0.05 * true.mean()
+
+
+def test_few_vectors_are_reranked():
+    """Under 5 % of some 10,000 vectors are compared exactly, and at least 0.9 of the neighbours found."""
+    import pyarrow.parquet as pq
+
+    table = pq.read_table("/root/testdata/check_s/embeddings.parquet")
+    v = np.array(table["embedding"].to_pylist(), dtype=float)
+    rows, ids, seen = np.arange(len(v)), table["vec_id"].to_numpy(), []
+    asks = np.flatnonzero(ids % 100 == 0)
+    got = ann.nearest(rows, ids, v, rows[asks], v[asks], ann.rotation(v.shape[1], ann.CODE_BITS), 10, ann.EPSILON, seen)
+    hits = 0
+    for (_, near, _), q in zip(got, asks, strict=True):
+        d = ann.exact(v[q], v)
+        d[q] = np.inf
+        hits += len(set(ids[np.lexsort((ids, d))[:10]]) & set(near))
+    assert np.mean(seen) < 0.05 * len(v) and hits >= 0.9 * 10 * len(asks)
 
 
 def test_query_is_exact_here(spark, sf, same_rows):
