@@ -31,20 +31,22 @@ STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 def _repeat_columns(rows: DataFrame) -> DataFrame:
     """n_repeat_words: words in three-word windows that occur twice or more.
 
-    Windows are hashed to 64 bits. Only where a hash repeats within the text are they sorted, as numbers that hold the
-    window's place in their low bits, so equal windows are neighbours and primitive sorting serves.
+    Windows are hashed to 64 bits. Only where a hash repeats within the text are (hash, place) pairs sorted, so equal
+    windows are neighbours; neighbours count as equal if their words are.
     """
     n = F.size("_w")
     grams = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2)))
     rows = rows.withColumn("_t", F.when(n >= 3, grams).otherwise(F.array().cast("array<bigint>")))
-    low = (F.pow(F.lit(2.0), F.ceil(F.log2(F.size("_t") + F.lit(1.0)))).cast("long") - 1).alias("_low")
-    rows = rows.select("*", low)
-    placed = F.sort_array(F.transform("_t", lambda x, i: x.bitwiseAND(F.bitwise_not("_low")).bitwiseOR(i.cast("long"))))
-    rows = rows.withColumn("_s", F.when(F.size(F.array_distinct("_t")) < F.size("_t"), placed).otherwise(F.array().cast("array<bigint>")))
-    same = lambda a, b: a.bitwiseXOR(b).bitwiseAND(F.bitwise_not("_low")) == 0
+    placed = F.sort_array(F.transform("_t", lambda x, i: F.struct(x.alias("h"), i.alias("p"))))
+    rows = rows.withColumn("_s", F.when(F.size(F.array_distinct("_t")) < F.size("_t"), placed).otherwise(F.array().cast("array<struct<h: bigint, p: int>>")))
+
+    def same(a: Column, b: Column) -> Column:
+        words = [F.get("_w", a["p"] + k) == F.get("_w", b["p"] + k) for k in range(3)]
+        return F.coalesce((a["h"] == b["h"]) & words[0] & words[1] & words[2], F.lit(False))
+
     again = F.filter("_s", lambda x, i: same(x, F.get("_s", i - 1)) | same(x, F.get("_s", i + 1)))
-    rows = rows.withColumn("_p", F.sort_array(F.transform(again, lambda x: x.bitwiseAND(F.col("_low")))))
-    step = F.transform("_p", lambda p, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get("_p", i + 1) - p, F.lit(3).cast("long"))))
+    rows = rows.withColumn("_p", F.sort_array(F.transform(again, lambda x: x["p"])))
+    step = F.transform("_p", lambda p, i: F.least(F.lit(3), F.coalesce(F.get("_p", i + 1) - p, F.lit(3))))
     return rows.withColumn("n_repeat_words", F.aggregate(step, F.lit(0).cast("long"), lambda a, x: a + x))
 
 

@@ -30,6 +30,26 @@ def test_stats(spark):
     assert got == {i: stats(t) for i, t in enumerate(TEXTS)}
 
 
+def test_repeats_are_exact_in_very_long_texts(spark):
+    """A million words: whole hashes are compared, so no chance repeat counts."""
+    words = [f"w{i}" for i in range(1_000_000)] + ["w5", "w6", "w7", "end"]
+    got = quality.measure(frame(spark, [(1, " ".join(words), "en", "s")]), ["doc_id"]).first()
+    assert (got["n_words"], got["n_repeat_words"]) == (1_000_004, 6)
+
+
+def test_query_with_groups_of_both_sizes(spark, duck):
+    """sf0.1 has groups above and below MIN_GROUP. The SQL's quantiles are exact, sketches of over SKETCH_K texts nearly so."""
+    sf = "/root/testdata/sf0.1"
+    columns, rows = duck(registry.ORACLE_SQL["op5_quality_rules"], sf)
+    want = {r[columns.index("doc_id")]: dict(zip(columns, r, strict=True)) for r in rows}
+    got = {r["doc_id"]: r.asDict() for r in quality.op5_quality_rules(spark, sf).collect()}
+    sizes = [r["count"] for r in storage.table(spark, sf, "documents").groupBy("lang", "source").count().collect()]
+    assert min(sizes) < quality.MIN_GROUP <= max(sizes) and got.keys() == want.keys()
+    assert all(got[i][c] == want[i][c] for i in got for c in columns if c != "kept")
+    assert sum(got[i]["kept"] != want[i]["kept"] for i in got) <= 0.001 * len(got)
+    assert sum(not r["kept"] and not r["base_failed"] for r in got.values()) > 100
+
+
 def test_cutoffs_spare_the_clean_and_find_junk(spark):
     clean = [" ".join(f"wo{(i * 7 + j * j) % 997}rd" for j in range(60 + i % 30)) for i in range(150)]
     junk = [" ".join(f"wo{i}x{j}rd###$$$" for j in range(80)) for i in range(40)] + [c.upper() + "!!" for c in clean[:30]]
