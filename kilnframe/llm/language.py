@@ -1,6 +1,6 @@
 """Language by nearest centroid: normalised TF-IDF vectors of byte trigrams against several centroids a language.
 
-A text is lower-cased, everything but letters becomes space, and trigrams of its UTF-8 bytes are counted into DIMS
+A text is lower-cased, everything but letters and their marks (Unicode categories L and M) becomes space, and trigrams of its UTF-8 bytes are counted into DIMS
 hashed dimensions; counts are damped by a logarithm, weighted by inverse document frequency and scaled to unit length.
 Spherical k-means finds CENTROIDS centres among a language's sample vectors, and a text takes the language of the most
 similar centre. A text whose similarity falls below a calibrated share of what its language's sample shows is marked as
@@ -11,16 +11,17 @@ text is classified, long ones in slices whose counts add up.
 
 Defined cases: a null text or one without letters is ``und`` with score 0 and rejected; repeated rows are classified
 alike; null languages teach nothing, nor does a null id, which belongs to no fold; without any labelled text every row
-is ``und``; equal similarities go to the smaller language code; an empty table gives no rows; other columns are not read.
+is ``und``; equal similarities go to the smaller language code
+(a letter is a code point of category L, so superscripts, fractions and Roman numerals are none); an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,14 +37,14 @@ UNKNOWN = "und"
 SEED = 6
 _SLICE = 1 << 20
 _ROWS = 64
-_LETTER = re.compile(r"[^\W\d_]")
-_SPACED = bytes(c if c >= 128 or chr(c).isalpha() else 32 for c in range(256))
+_LETTER = regex.compile(r"\p{L}")
+_OTHER = regex.compile(r"[^\p{L}\p{M}]+")
 
 
 def gram_counts(texts: list[str]) -> np.ndarray:
     """Hashed trigram counts, a row for each text."""
     out = np.zeros((len(texts), DIMS), dtype=np.float32)
-    clean = [b" " + b" ".join(t.lower().encode("utf-8", "surrogatepass").translate(_SPACED).split()) + b" " for t in texts]
+    clean = [f" {_OTHER.sub(' ', t.lower()).strip()} ".encode("utf-8", "surrogatepass") for t in texts]
     at = 0
     while at < len(texts):
         end, size = at, 0

@@ -70,3 +70,17 @@ def test_held_out_accuracy(spark, sf):
     got = language.op6_language_id(spark, sf).join(storage.table(spark, sf, "documents").select("doc_id", "lang", "text"), "doc_id").collect()
     held = [r for r in got if r["held_out"] and len(r["text"].split()) >= 20]
     assert len(got) == 200 and sum(r["lang_pred"] == r["lang"] for r in held) >= 0.95 * len(held)
+
+
+def test_letters_are_category_l(docs):
+    """Superscripts, fractions, Roman numerals, circled digits and foreign digits are no letters, quotes and dashes no part of a word."""
+    model = language.fit(docs)
+    assert model.predict(["²", "½ ③", "Ⅷ", "١٢٣ — “”", "\u0301"])[0] == ["und"] * 5
+    assert model.predict(["é", "漢", "ʰ"])[0] != ["und"] * 3 and "und" not in model.predict(["é", "漢", "ʰ"])[0]
+    assert (language.gram_counts(["“tho²se—que”"]) == language.gram_counts(["tho se que"])).all()
+
+
+def test_ties_go_to_the_smaller_code(spark):
+    rows = [(i, "same words here", k) for i in range(40) for k in ("bb", "aa")]
+    df = spark.createDataFrame([(i, t, k, "", "", 0) for i, t, k in rows], SCHEMA)
+    assert {r["lang_pred"] for r in language.identify(df, language.fit(df), ["doc_id"]).collect()} == {"aa"}
