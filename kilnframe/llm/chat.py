@@ -2,9 +2,11 @@
 
 Turns are priced in tokens, and prefix sums of the prices cut a conversation into blocks of BLOCK_WINDOWS windows'
 worth, each formatted by itself: within a block, spans of whole turns are filled up to the budget. A window opens with
-the conversation's system turn and with limited history repeated from before the span; loss spans cover the texts of
-assistant turns of the span alone, so each is a target once. A turn that exceeds the budget by itself is a window of
-its own: nothing is cut or dropped.
+the conversation's system turn (its first, wherever it stands, repeated in all later windows) and with limited history
+repeated from before the span; loss spans cover the texts of assistant turns of the span alone, so each is a target
+once. Repeats leave first: history, then the system turn, go where the span's first turn would not fit the budget beside
+them. A turn that exceeds the budget by itself is a window of its own, without repeats: nothing is cut or dropped, and no
+other window exceeds the budget.
 
 Prefix sums are taken within (conversation, turn div TURN_BUCKET) and over the buckets' totals, so a conversation that
 holds a third of all rows is not gathered: its blocks are separate groups of bounded size, to which the system turn and
@@ -105,8 +107,8 @@ class _Conversation:
         if not self.span:
             self.context = ([self.system] if self.system else []) + self.recent
             self.used = sum(t[3] for t in self.context)
-            while len(self.context) > bool(self.system) and self.used + turn[3] > self.budget:
-                self.used -= self.context.pop(bool(self.system))[3]
+            while self.context and self.used + turn[3] > self.budget:
+                self.used -= self.context.pop(1 if self.system and len(self.context) > 1 else 0)[3]
         self.span.append(turn)
         self.used += turn[3]
         if is_system:
@@ -169,19 +171,23 @@ def format_conversations(
         F.col("conv_id").alias("_c"), F.col("bucket").alias("_b"),
         F.coalesce(F.sum("t").over(before), F.lit(0)).alias("t0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.sum("t").over(whole).alias("all_tokens"),
     )
+    first = F.min(F.when(F.col("role") == "system", F.struct("turn", F.xxhash64("text").alias("hash"))))
+    systems = rows.where(F.col("role") == "system").groupBy(F.col("conv_id").alias("_c")).agg(first.alias("_system"))
+    starts = starts.join(systems.withColumnRenamed("_c", "_s"), F.col("_c").eqNullSafe(F.col("_s")), "left").drop("_s")
     rows = rows.join(starts, rows["conv_id"].eqNullSafe(starts["_c"]) & rows["bucket"].eqNullSafe(starts["_b"])).drop("_c", "_b")
+    is_first = (F.col("role") == "system") & F.col("turn").eqNullSafe(F.col("_system.turn")) & (F.xxhash64("text") == F.col("_system.hash"))
+    rows = rows.withColumn("is_system", F.coalesce(is_first, F.lit(False)))
     order = W.partitionBy("conv_id", "bucket").orderBy("turn", "role", "text")
     upto = order.rowsBetween(W.unboundedPreceding, -1)
     size = BLOCK_WINDOWS * budget
     start = F.col("t0") + F.coalesce(F.sum("tokens").over(upto), F.lit(0))
-    placed = rows.select("conv_id", "role", "text", "tokens", "all_tokens", start.alias("start"), (F.col("n0") + F.row_number().over(order) - 1).alias("position"))
+    placed = rows.select("conv_id", "role", "text", "tokens", "all_tokens", "is_system", start.alias("start"), (F.col("n0") + F.row_number().over(order) - 1).alias("position"))
     block = F.floor(F.col("start") / size)
     last = F.floor(F.greatest(F.col("all_tokens") - 1, F.lit(0)) / size)
-    is_system = (F.col("position") == 0) & (F.col("role") == "system")
-    # A turn goes to its own block, to the next if it ends within the history before it, the system turn to all.
+    # A turn goes to its own block, to the next if it ends within the history before it, the system turn to all later ones.
     near = (F.col("start") + F.col("tokens") > (block + 1) * size - history) & (block < last)
-    blocks = F.when(is_system, F.sequence(F.lit(0).cast("long"), last)).when(near, F.array(block, block + 1)).otherwise(F.array(block))
-    sent = placed.select("conv_id", "position", "role", "text", "tokens", block.alias("home"), is_system.alias("is_system"), F.explode(blocks).alias("block"))
+    blocks = F.when(F.col("is_system"), F.sequence(block, F.greatest(block, last))).when(near, F.array(block, block + 1)).otherwise(F.array(block))
+    sent = placed.select("conv_id", "position", "role", "text", "tokens", block.alias("home"), "is_system", F.explode(blocks).alias("block"))
     dealt = sent.repartition("conv_id", "block").sortWithinPartitions("conv_id", "block", "position")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

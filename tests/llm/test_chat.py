@@ -65,6 +65,27 @@ def test_round_trip_at_any_budget(spark, monkeypatch, budget, history, block, bu
         assert [(s["begin"], s["end"]) for s in w["loss"]] == [(a, e) for r, _, a, e in own if r == "assistant"]
 
 
+def test_repeats_leave_room_for_the_budget(spark):
+    """A system turn of 1,500 tokens beside turns of 1,000 does not overrun 2,048; beside short ones it stays."""
+    rows = [(1, 0, "system", "word " * 1500), (1, 1, "user", "word " * 1000), (1, 2, "assistant", "word " * 300), (1, 3, "user", "hi"), (1, 4, "assistant", "word " * 1900), (1, 5, "user", "word " * 2500)]
+    windows = chat.format_conversations(frame(spark, rows), budget=2048, history=512).orderBy("position").collect()
+    assert [w["position"] for w in windows] == sorted(w["position"] for w in windows)
+    for w in windows:
+        turns = chat.read_turns(w["text"])
+        assert w["tokens"] <= 2048 or (len(turns) == 1 and w["n_context"] == 0)
+    assert got(chat.format_conversations(frame(spark, rows), budget=2048, history=512)) == want(rows)
+
+
+def test_system_turn_stands_anywhere(spark, monkeypatch):
+    monkeypatch.setattr(chat, "BLOCK_WINDOWS", 1)
+    monkeypatch.setattr(chat, "TURN_BUCKET", 2)
+    rows = [(1, None, "user", "before"), (1, 1, "user", "also before")] + [(1, 2, "system", "rules")] + [(1, 3 + i, ("user", "assistant")[i % 2], "some words here") for i in range(20)] + [(1, 99, "system", "other rules")]
+    windows = chat.format_conversations(frame(spark, rows), budget=60, history=0).orderBy("position").collect()
+    assert got(chat.format_conversations(frame(spark, rows), budget=60, history=0)) == want(rows)
+    after = [w for w in windows if w["position"] > 2]
+    assert after and all(chat.read_turns(w["text"])[0][:2] == ("system", "rules") for w in after)
+
+
 def test_empty(spark):
     assert chat.digests(chat.format_conversations(frame(spark, []))).collect() == []
 
