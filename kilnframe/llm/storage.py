@@ -17,9 +17,11 @@ _CLEANED: set[str] = set()
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own only where the setting is absent."""
+    """The folder named by spark.checkpoint.dir; one of our own only where the setting is absent and no executor is elsewhere."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="kilnframe-scratch-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
