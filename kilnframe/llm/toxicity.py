@@ -4,12 +4,13 @@ zstandard trains both dictionaries (its COVER algorithm, ``train_dictionary``):
 labelled ordinary texts, the toxic one on those passages of labelled toxic texts whose byte n-grams at least MIN_TEXTS
 toxic texts hold, and FOLD times as often as ordinary texts do. Passages that both kinds share would only teach it the
 language, which the ordinary dictionary holds and which stands before it in the toxic compressor too. Every window of
-WINDOW words, from each word on, is compressed under both, followed by a PAD that costs alike under both and without
-which a window in which little matches would be stored plainly; its gain is its length under the ordinary dictionary
-less that under the toxic one. Windows that gain at least so many bytes
-(THRESHOLDS) are counted; what a text has beyond the rates of ordinary texts is calibrated to a score by logistic
-regression, weighted back to the classes' true sizes. Calibration is cross-fitted: a text is measured with dictionaries that the other half of the texts taught.
-Among the SETTINGS of the toxic dictionary the one of least loss is kept, with dictionaries taught by both halves.
+WINDOW words, from each word on, is compressed under both (unless it shares no match with the toxic one, so cannot
+gain), followed by a PAD that costs alike under both and without which a window in which little matches would be stored
+plainly; its gain is its length under the ordinary dictionary less that under the toxic one. Windows that gain at least
+so many bytes (THRESHOLDS) are counted; what a text has beyond the rates of ordinary texts is calibrated to a score by
+logistic regression, weighted back to the classes' true sizes. Calibration is cross-fitted: a text is measured with
+dictionaries that the other half of the texts taught. Among the SETTINGS of the toxic dictionary the one of least loss
+is kept, with dictionaries taught by both halves.
 
 Words are title-cased, so a word's beginning differs in bytes from the same letters within a word.
 
@@ -47,10 +48,13 @@ FOLD = 4.0
 PIECE = 32
 WINDOW, LONGEST = 2, 128
 PAD = b"\n" * 24
+MIN_MATCH = 5
 THRESHOLDS = (2, 3, 4, 5, 6, 8)
 RIDGE = 0.05
 SEED = 8
 _SLICE = 1 << 15
+_TABLE_BITS = 20
+_NO_GRAM = np.uint64(2**64 - 1)  # above all n-grams of up to seven bytes
 
 
 def clean(text: str | None) -> bytes:
@@ -59,26 +63,32 @@ def clean(text: str | None) -> bytes:
     return b" " + b" ".join(words) + b" " if words else b""
 
 
-def windows(data: bytes) -> list[bytes]:
-    """The window of each word of cleaned text; a word of over LONGEST bytes gives one for each LONGEST of them."""
-    spaces = np.flatnonzero(np.frombuffer(data, np.uint8) == 32).tolist()
-    last, out = len(spaces) - 1, []
-    for k, begin in enumerate(spaces[:-1]):
-        end = spaces[min(k + WINDOW, last)] + 1
-        if end - begin <= LONGEST:
-            out.append(data[begin:end] + PAD)
+def windows(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the window of each word of cleaned text begins and ends; a window of over LONGEST bytes is cut into several
+    that cover its first word."""
+    spaces = np.flatnonzero(np.frombuffer(data, np.uint8) == 32)
+    last = len(spaces) - 1
+    if last < 1:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    begin, end = spaces[:-1], spaces[np.minimum(np.arange(last) + WINDOW, last)] + 1
+    if not (end - begin > LONGEST).any():
+        return begin, end
+    parts = []
+    for k in range(last):
+        if end[k] - begin[k] <= LONGEST:
+            parts.append((begin[k], end[k]))
         else:
-            out += [data[i : min(i + LONGEST, end)] + PAD for i in range(begin, spaces[k + 1] + 1, LONGEST)]
-    return out
+            parts += [(i, min(i + LONGEST, end[k])) for i in range(begin[k], spaces[k + 1] + 1, LONGEST)]
+    return tuple(np.array(parts).T)
 
 
 def compressor(dictionary: bytes):  # noqa: ANN201  zstandard is imported where it is used
-    """For windows: literals as they are, matches of five bytes or more, no header fields."""
+    """For windows: literals as they are, matches of MIN_MATCH bytes or more, no header fields."""
     import zstandard as z
 
     size = max(17, len(dictionary).bit_length() + 1)  # the window reaches back over the whole dictionary
     params = z.ZstdCompressionParameters(
-        window_log=size, hash_log=17, chain_log=17, search_log=6, min_match=5, target_length=64, strategy=z.STRATEGY_LAZY2, write_content_size=0, write_checksum=0, write_dict_id=0
+        window_log=size, hash_log=17, chain_log=17, search_log=6, min_match=MIN_MATCH, target_length=64, strategy=z.STRATEGY_LAZY2, write_content_size=0, write_checksum=0, write_dict_id=0
     )
     content = z.ZstdCompressionDict(dictionary, dict_type=z.DICT_TYPE_RAWCONTENT)
     content.precompute_compress(compression_params=params)
@@ -87,11 +97,39 @@ def compressor(dictionary: bytes):  # noqa: ANN201  zstandard is imported where
 
 def lengths(by, some: list[bytes]) -> np.ndarray:  # noqa: ANN001
     """Compressed lengths of windows."""
-    out = np.empty(len(some), np.int64)
-    for i in range(0, len(some), _SLICE):
-        packed = by.multi_compress_to_buffer(some[i : i + _SLICE])
-        out[i : i + _SLICE] = np.fromiter(map(len, packed), dtype=np.int64, count=len(packed))
-    return out
+    packed = by.multi_compress_to_buffer(some)
+    return np.fromiter(map(len, packed), dtype=np.int64, count=len(some))
+
+
+class Comparison:
+    """Compresses windows under both dictionaries.
+
+    A window that has no MIN_MATCH bytes in a row from the toxic dictionary cannot match in it, so its gain is 0 and it is
+    not compressed.
+    """
+
+    def __init__(self, ordinary: bytes, toxic: bytes):
+        self.plain, self.both = compressor(ordinary), compressor(ordinary + toxic)
+        self.shared = np.zeros(1 << _TABLE_BITS, np.bool_)
+        self.shared[self._slots(toxic)] = True
+
+    @staticmethod
+    def _slots(data: bytes) -> np.ndarray:
+        return (_grams(data, MIN_MATCH) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _TABLE_BITS)
+
+    def gains(self, data: bytes, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Of each window of data, in bytes."""
+        out = np.zeros(len(begin), np.int64)
+        upto = np.zeros(len(data) + 1, np.int64)
+        hits = self.shared[self._slots(data)]
+        upto[1 : len(hits) + 1] = np.cumsum(hits)
+        upto[len(hits) + 1 :] = upto[len(hits)]
+        rows = np.flatnonzero(upto[np.maximum(end - MIN_MATCH + 1, begin)] > upto[begin])
+        for i in range(0, len(rows), _SLICE):
+            at = rows[i : i + _SLICE]
+            some = [data[b:e] + PAD for b, e in zip(begin[at].tolist(), end[at].tolist(), strict=True)]
+            out[at] = lengths(self.plain, some) - lengths(self.both, some)
+        return out
 
 
 def counts_of(gains: np.ndarray) -> list[float]:
@@ -112,16 +150,16 @@ class Model:
         self.ordinary, self.toxic = ordinary, toxic
         self.rates = np.zeros(len(THRESHOLDS))
         self.weights: np.ndarray | None = None
-        self._open: tuple | None = None
+        self._open: Comparison | None = None
 
     def __getstate__(self) -> dict:
         return {"ordinary": self.ordinary, "toxic": self.toxic, "rates": self.rates, "weights": self.weights, "_open": None}
 
     def gains(self, text: str | None) -> np.ndarray:
         """Of each window, in bytes."""
-        self._open = self._open or (compressor(self.ordinary), compressor(self.ordinary + self.toxic))
-        some = windows(clean(text))
-        return lengths(self._open[0], some) - lengths(self._open[1], some)
+        self._open = self._open or Comparison(self.ordinary, self.toxic)
+        data = clean(text)
+        return self._open.gains(data, *windows(data))
 
     def score(self, text: str | None) -> float:
         if self.weights is None:
@@ -176,13 +214,15 @@ def telling_passages(toxic: list[bytes], ordinary: list[bytes], n: int, min_text
         return []
     usual = np.zeros(len(keys))
     for b in ordinary:
-        usual += np.isin(keys, _grams(b, n))
-    keys = keys[found > FOLD * (usual + 0.5) * len(toxic) / max(len(ordinary), 1)]
+        g = np.unique(_grams(b, n))
+        at = np.minimum(np.searchsorted(keys, g), len(keys) - 1)
+        usual[at[keys[at] == g]] += 1
+    keys = np.append(keys[found > FOLD * (usual + 0.5) * len(toxic) / max(len(ordinary), 1)], _NO_GRAM)
     out = []
     for b in toxic:
         g = _grams(b, n)
         told = np.zeros(len(b) + 1, np.int64)
-        tells = np.isin(g, keys)
+        tells = keys[np.searchsorted(keys, g)] == g
         told[: len(g)] += tells
         told[n : n + len(g)] -= tells
         edges = np.flatnonzero(np.diff(np.r_[False, np.cumsum(told[:-1]) > 0, False].astype(np.int8)))
@@ -241,14 +281,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     content = {(r["half"], r["setting"]): bytes(r["content"]) for r in trained_rows}
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ordinary = [compressor(content[h, -1]) for h in (0, 1)]
-        both = [[compressor(content[h, -1] + content[h, s]) for s in range(len(SETTINGS))] for h in (0, 1)]
+        taught = [[Comparison(content[h, -1], content[h, s]) for s in range(len(SETTINGS))] for h in (0, 1)]
         for batch in batches:
             out = []
             for text in batch.column(0).to_pylist():
-                some, other = windows(clean(text)), 1 - half_of(text)
-                plain = lengths(ordinary[other], some)
-                out.append([counts_of(plain - lengths(c, some)) for c in both[other]])
+                data = clean(text)
+                at = windows(data)
+                out.append([counts_of(c.gains(data, *at)) for c in taught[1 - half_of(text)]])
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.list_(pa.list_(pa.float64())))], ["y", "x"])
 
     rows = sorted((r["y"], r["x"]) for r in storage.map_arrow(sample, measure, storage.schema_of(y="int", x="array<array<double>>")).collect())
