@@ -66,6 +66,17 @@ def replay(blobs: DataFrame) -> DataFrame:
     return split.select("id", "stream", F.col("pos"), F.col("col").alias("line"), "o").orderBy("id", "o", "pos").drop("o")
 
 
+def log_lines(lines: DataFrame, stdout: bool = True, stderr: bool = True, merged: bool = False, search: str = "") -> DataFrame:
+    """lines (stream, line and others) of the wanted streams with the sink (out, err) each is written to; merged sends all to
+    out. A search keeps lines that hold it, in any case. Lines of other streams are none."""
+    wanted = [name for name, want in (("stdout", stdout), ("stderr", stderr)) if want]
+    found = F.col("stream").isin(*wanted) if wanted else F.lit(False)
+    if search:
+        found = found & F.lower("line").contains(search.lower())
+    sink = F.lit("out") if merged else F.when(F.col("stream") == "stdout", "out").otherwise("err")
+    return lines.where(found).withColumn("sink", sink)
+
+
 def kept_output(lines: DataFrame, results: DataFrame) -> DataFrame:
     """Buffered lines of targets that failed; those of others are dropped."""
     return lines.join(results.where("result = 'failed'").select("id"), "id", "left_semi")

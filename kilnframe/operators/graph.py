@@ -18,7 +18,7 @@ MERGE_EVERY = 16
 
 
 class CycleError(ValueError):
-    """A dependency cycle; the message names its smallest member."""
+    """A dependency cycle; the message names a member of it."""
 
 
 def edges_of(target_deps: DataFrame) -> DataFrame:
@@ -81,9 +81,9 @@ def levels(targets: DataFrame, edges: DataFrame) -> DataFrame:
     done, level = None, 0
     while True:
         ready = pending.where("left = 0").select("label", F.lit(level).alias("level"))
-        n_ready, n_left, least = pending.agg(F.count_if(F.col("left") == 0), F.count_if(F.col("left") > 0), F.min("label")).first()
+        n_ready, n_left = pending.agg(F.count_if(F.col("left") == 0), F.count_if(F.col("left") > 0)).first()
         if n_left and not n_ready:
-            raise CycleError(f"dependency cycle through {least}")
+            raise CycleError(f"dependency cycle through {_on_cycle(pending.where('left > 0'), inside, n_left)}")
         done = ready if done is None else done.unionByName(ready)
         if not n_left:
             return done
@@ -94,6 +94,20 @@ def levels(targets: DataFrame, edges: DataFrame) -> DataFrame:
             done = cut(done)
 
 
+def _on_cycle(waiting: DataFrame, edges: DataFrame, n: int) -> str:
+    """The smallest label that n steps along smallest dependencies can end in; each of these lies on a cycle.
+
+    Whatever waits has a dependency that waits, so steps never end, and n of them are past everything outside a cycle. They
+    are taken by doubling.
+    """
+    names = waiting.select("label")
+    inside = edges.join(names.select(F.col("label").alias("dep")), "dep", "left_semi")
+    step = cut(inside.groupBy(F.col("parent").alias("label")).agg(F.min("dep").alias("to")).join(names, "label", "left_semi"))
+    for _ in range(n.bit_length()):
+        step = cut(step.join(step.select(F.col("label").alias("to"), F.col("to").alias("then")), "to").select("label", F.col("then").alias("to")))
+    return step.agg(F.min("to")).first()[0]
+
+
 def topological_order(targets: DataFrame, edges: DataFrame) -> DataFrame:
     """Dependencies first; ties by label."""
     return levels(targets, edges).orderBy("level", "label")

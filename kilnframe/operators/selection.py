@@ -121,6 +121,17 @@ def changed_since(diff: DataFrame, untracked: DataFrame) -> DataFrame:
     return diff.select("path").union(untracked.select("path")).distinct().orderBy("path")
 
 
+def resolve_changed_files(root: str, explicit: DataFrame | None = None, since: DataFrame | None = None) -> DataFrame:
+    """Changed paths relative to the workspace: those named outright, if any relation of them is given, else those since a
+    base. Without either there is nothing to ask, a ValueError."""
+    if explicit is not None:
+        below = F.col("path").startswith(root.rstrip("/") + "/")
+        return explicit.select(F.when(below, F.substr("path", F.lit(len(root.rstrip("/")) + 2))).otherwise(F.col("path")).alias("path")).distinct()
+    if since is None:
+        raise ValueError("affected targets need a base or changed files")
+    return since.select("path").distinct()
+
+
 def split_nul(listing: DataFrame, column: str = "listing") -> DataFrame:
     """Paths of NUL-separated listings; empty ones go."""
     return listing.select(F.explode(F.split(column, "\\x00")).alias("path")).where("path <> ''")

@@ -779,3 +779,4 @@ def env_patterns(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("p_type", F.array_join(labels.expand_env(F.col("names"), ["Brand#1*", "HOME", "Brand#22*"]), ",").alias("env"))
 
 
+from . import rule_queries  # noqa: E402, F401  registers its queries here

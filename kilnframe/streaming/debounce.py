@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -124,13 +124,24 @@ def affected_subscription(catalog_inputs: DataFrame, edges: DataFrame, selection
 
 def upload_sink(blob_path: str, entry_path: str, stored_blobs: Callable[[], DataFrame]) -> Callable[[DataFrame, int], None]:
     """For foreachBatch over new entries (cache_key, refs: array of (hash, size)): blobs are written before the entries
-    that refer to them, so a reader never finds an entry without its blobs."""
+    that refer to them, so a reader never finds an entry without its blobs.
+
+    Each batch has a folder of its own below either path, named by its number, and one that was written whole is not
+    written again, so a batch that is replayed adds nothing. Both paths belong to one query and its checkpoint.
+    """
+
+    def whole(spark: SparkSession, folder: str) -> bool:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+        return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
 
     def each(batch: DataFrame, number: int) -> None:
+        blob_folder, entry_folder = f"{blob_path}/batch={number}", f"{entry_path}/batch={number}"
         batch = batch.persist()
-        blobs = batch.select(F.explode("refs").alias("b")).select("b.hash", "b.size").distinct().join(stored_blobs().select("hash"), "hash", "left_anti")
-        blobs.write.mode("append").parquet(blob_path)
-        batch.select("cache_key").write.mode("append").parquet(entry_path)
+        if not whole(batch.sparkSession, blob_folder):
+            blobs = batch.select(F.explode("refs").alias("b")).select("b.hash", "b.size").distinct().join(stored_blobs().select("hash"), "hash", "left_anti")
+            blobs.write.mode("overwrite").parquet(blob_folder)
+        if not whole(batch.sparkSession, entry_folder):
+            batch.select("cache_key").write.mode("overwrite").parquet(entry_folder)
         batch.unpersist()
 
     return each
