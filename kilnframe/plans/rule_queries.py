@@ -120,7 +120,7 @@ UNION ALL SELECT 'service name', r_name FROM region WHERE r_regionkey % 2 = 1
 UNION ALL SELECT 'empty command', r_name FROM region WHERE r_regionkey % 3 = 2
 UNION ALL SELECT 'unknown task', n_name || ' -> ' || n_name || '?' FROM nation WHERE n_nationkey % 4 = 0
 UNION ALL SELECT 'unknown service', n_name || ' -> ' || n_name FROM nation WHERE n_nationkey % 4 = 1
-UNION ALL SELECT 'needs itself', n_name || ' -> ' || n_name FROM nation WHERE n_nationkey % 4 = 2""")
+UNION ALL SELECT 'needs itself', n_name FROM nation WHERE n_nationkey % 4 = 2""")
 def task_violations(spark: SparkSession, d: str) -> DataFrame:
     """Nations as tasks, regions as services, with every kind of fault. Without a command a task may still run services."""
     k = F.col("n_nationkey")
