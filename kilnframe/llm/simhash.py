@@ -352,11 +352,13 @@ def deduplicated(docs: DataFrame, limit: int = LIMIT, id_col: str = "doc_id", te
     found = storage.materialize(fingerprints(keyed, "doc_id", "_text", shingle).select(F.col("doc_id.id").alias("doc_id"), F.col("doc_id.hash").alias("hash"), "fp"), "fingerprints")
     known = classes(found, limit)
     placed = storage.materialize(found.groupBy("doc_id", "hash", "fp").agg(F.count(F.lit(1)).alias("n")).join(known, "fp"), "placed")
-    first = placed.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("fp", "hash")).alias("first"))
-    verdict = placed.join(first, "root").select(
-        F.col("doc_id").alias("_out_id"), F.col("hash").alias("_out_hash"),
-        (~F.col("doc_id").eqNullSafe(F.col("component_id")) | (F.struct("fp", "hash") != F.col("first"))).alias("goes"), (F.col("n") > 1).alias("repeats"),
-    )
+    key = [F.col("doc_id").alias("_out_id"), F.col("hash").alias("_out_hash")]
+    named = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    # Rows of another id than their component's go, which needs no look at the component's other rows.
+    heads = placed.where(named)
+    first = heads.groupBy("root").agg(F.min(F.struct("fp", "hash")).alias("first"))
+    chosen = heads.join(first, "root").select(*key, (F.struct("fp", "hash") != F.col("first")).alias("goes"), (F.col("n") > 1).alias("repeats"))
+    verdict = placed.where(~named).select(*key, F.lit(True).alias("goes"), (F.col("n") > 1).alias("repeats")).unionByName(chosen)
     verdict = storage.materialize(verdict.where("goes OR repeats"), "verdicts")
     same = F.col("_id").eqNullSafe(F.col("_out_id")) & (F.col("_hash") == F.col("_out_hash"))
     # Rows are equal by id and text hash; the few keys that stay and repeat are settled by an aggregate of their rows.
