@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from ..shipping import ship
 
+#: Rows that a Python function is handed at a time.
+SLICE_ROWS = 512
 _CLEANED: set[str] = set()
 
 
@@ -57,10 +61,33 @@ def schema_of(**kinds: T.DataType | str) -> T.StructType:
     return T.StructType([T.StructField(name, T.DataType.fromDDL(kind) if isinstance(kind, str) else kind) for name, kind in kinds.items()])
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most SLICE_ROWS rows each, without copies."""
+    for batch in batches:
+        for at in range(0, max(batch.num_rows, 1), SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
+
+
+def _give_back() -> None:
+    """Freed memory goes back to the machine, as a worker lives on and stands beside its executor's heap."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def map_arrow(df: DataFrame, run: Callable, schema: T.StructType) -> DataFrame:
-    """df.mapInArrow, with this package at hand in the workers."""
+    """df.mapInArrow, with this package at hand in the workers, in batches of few rows."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(_slices(batches))
+        finally:
+            _give_back()
+
+    return df.mapInArrow(whole, schema)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
