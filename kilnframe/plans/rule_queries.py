@@ -79,16 +79,17 @@ _KEY0 = f"sha256(unhex({_SQL_HEAD} || '{_SQL_MARK['dep_outputs']}'))"
 
 
 @query(f"""
-WITH RECURSIVE r AS (
-  SELECT p_partkey AS k, {_KEY0} AS cache_key, CASE WHEN p_partkey % 3 = 0 THEN sha256('o' || p_partkey % 5) END AS outputs_hash FROM part WHERE p_partkey <= 1
+WITH RECURSIVE e AS (SELECT {_KEY0} AS key0, max(sha256('o' || p_partkey % 5)) AS outputs_hash FROM part WHERE p_partkey % 3 = 0 GROUP BY 1),
+r AS (
+  SELECT p_partkey AS k, {_KEY0} AS cache_key, e.outputs_hash FROM part LEFT JOIN e ON key0 = {_KEY0} WHERE p_partkey <= 1
   UNION ALL
-  SELECT p_partkey, CASE WHEN r.outputs_hash IS NULL THEN {_KEY0} ELSE sha256(unhex({_SQL_HEAD} || '{_SQL_MARK['dep_outputs']}' || r.outputs_hash || '00')) END,
-         CASE WHEN r.outputs_hash IS NULL AND p_partkey % 3 = 0 THEN sha256('o' || p_partkey % 5) END
-  FROM part JOIN r ON p_partkey // 2 = r.k WHERE p_partkey > 1)
+  SELECT x.k, x.cache_key, e.outputs_hash FROM (
+    SELECT p_partkey AS k, CASE WHEN r.outputs_hash IS NULL THEN {_KEY0} ELSE sha256(unhex({_SQL_HEAD} || '{_SQL_MARK['dep_outputs']}' || r.outputs_hash || '00')) END AS cache_key
+    FROM part JOIN r ON p_partkey // 2 = r.k WHERE p_partkey > 1) x LEFT JOIN e ON key0 = x.cache_key)
 SELECT '//part:p' || k AS label, cache_key, outputs_hash FROM r""")
 def early_cutoff_keys(spark: SparkSession, d: str) -> DataFrame:
     """A dependency adds its cached outputs to a key, not its own key. Every third part has a result under the key it has
-    without dependencies, so parts above one with a result have none."""
+    without dependencies, so parts above one with a result have none. Parts of equal recipes share a key and its result."""
     recipes, edges = cut(_recipes(spark, d)), cut(b.part_edges(spark, d))
     no_files = spark.createDataFrame([], "label string, path string, content_hash string")
     alone = keys.keyed(recipes, no_files, spark.createDataFrame([], "label string, outputs_hash string"), "linux")
