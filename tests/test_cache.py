@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from kilnframe.operators import cache, diff, keys
+from kilnframe.operators import cache, classes, diff, keys
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -117,3 +117,19 @@ def test_diffs(spark):
     left = keys.keyed(recipes(spark, "t"), *none, "x")
     right = keys.keyed(recipes(spark, "t").withColumn("env", F.create_map(F.lit("A"), F.lit("1"))), *none, "x")
     assert [tuple(r) for r in diff.explain_diff(left, right).collect()] == [("env", "A", None, "1")]
+
+
+def test_inputs_by_class(spark, monkeypatch):
+    """Targets of equal inputs are one class, resolved once; overlapping globs give a file once, pruned folders part classes."""
+    monkeypatch.setattr(classes, "MEMBERS", 2)
+    files = spark.createDataFrame([(p, "h", 1) for p in ("s/a.c", "s/in/b.c", "t/a.c", "lit")], "path string, content_hash string, size long")
+    named = {"x1": ("s/**", "s/*.c"), "x2": ("s/*.c", "s/**"), "x3": ("s/**", "s/*.c"), "x4": ("s/**", "s/*.c"), "p": ("s/**", "s/*.c"), "l": ("lit", "t/*"), "none": ("gone",)}
+    inputs = spark.createDataFrame([(k, g) for k, v in named.items() for g in v] + [("x1", "s/**")], "label string, glob string")
+    found = keys.input_classes(inputs, files, spark.createDataFrame([("p", "s/in")], "label string, dir string"))
+    assert found.members.select("class").distinct().count() == 4 and found.rows.count() == 5
+    whole = {("x%d" % i, p) for i in (1, 2, 3, 4) for p in ("s/a.c", "s/in/b.c")} | {("p", "s/a.c"), ("l", "lit"), ("l", "t/a.c")}
+    assert sorted((r["label"], r["path"]) for r in found.expanded().collect()) == sorted(whole)
+    outputs = spark.createDataFrame([("x1", "out/a.o"), ("x1", "out/b.o")], "label string, path string")
+    grants = sorted(map(tuple, keys.sandbox_grants(found, outputs, ".tmp").collect()))
+    assert grants == sorted([(k, "ro", p) for k, p in whole] + [("x1", "rw", "out"), ("x1", "rw", ".tmp")])
+    assert grants == sorted(map(tuple, keys.sandbox_grants(found.expanded(), outputs, ".tmp").collect()))
