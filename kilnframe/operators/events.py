@@ -7,8 +7,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import LOG_CAP_BYTES
-from . import graph
+from ..plans.scratch import cut
+from ..shipping import ship
+from . import graph, slot
 
+#: Requests for one slot that are folded in one task.
+CHUNK = 500_000
 HITS = ("cache_hit", "remote_cache_hit", "external_cache_hit")
 #: Result of a target -> the verb that a renderer shows.
 VERBS = {"built": "built", "cache_hit": "cached", "remote_cache_hit": "remote", "external_cache_hit": "exists", "skipped": "skipped", "failed": "failed"}
@@ -158,36 +162,43 @@ def single_slot(commands: DataFrame) -> DataFrame:
     """outcome of build requests (build, requested, started, finished bounds given by duration): with one slot running
     and one waiting, a newer request supersedes the waiting one.
 
-    commands: build, at, duration (both in the same unit), in order of at. Returns build, outcome (run, superseded),
-    start. Requests of one queue form one sequence, folded in order; the fold carries the slot's end and the waiting
-    request alone.
+    commands: build, at, duration (both in the same unit), in order of at, then build and duration; without at or duration
+    it is no request. Returns build, outcome (run, superseded), start.
+
+    Requests are sorted into chunks, and each is folded in one task that holds the slot's end and the waiting request alone.
+    Where a chunk begins depends on those before. At first all start with a free slot; those that should have started
+    otherwise are folded again, together, twice at most, as histories soon meet in one state. Chunks that are still unsettled
+    then are folded one after the other, so the work stays in proportion to the requests.
     """
-    ordered = commands.agg(F.array_sort(F.collect_list(F.struct("at", "build", "duration"))).alias("c"))
-    kind = "struct<free:bigint,wait_build:string,wait_duration:bigint,out:array<struct<build:string,outcome:string,start:bigint>>>"
-    start = F.from_json(F.lit('{"free": -9223372036854775807, "out": []}'), kind)
-
-    def record(build: Column, outcome: str, at: Column) -> Column:
-        return F.array(F.struct(build.alias("build"), F.lit(outcome).alias("outcome"), at.alias("start")))
-
-    def state(free: Column, build: Column, duration: Column, out: Column) -> Column:
-        return F.struct(free.cast("bigint").alias("free"), build.cast("string").alias("wait_build"), duration.cast("bigint").alias("wait_duration"), out.alias("out"))
-
-    def step(s: Column, c: Column) -> Column:
-        none = F.lit(None)
-        # a waiting request starts when the slot frees
-        started = s["wait_build"].isNotNull() & (s["free"] <= c["at"])
-        out = F.when(started, F.concat(s["out"], record(s["wait_build"], "run", s["free"]))).otherwise(s["out"])
-        free = F.when(started, s["free"] + s["wait_duration"]).otherwise(s["free"])
-        waits = ~started & s["wait_build"].isNotNull()
-        runs_now = state(c["at"] + c["duration"], none, none, F.concat(out, record(c["build"], "run", c["at"])))
-        replaces = state(free, c["build"], c["duration"], F.concat(out, record(s["wait_build"], "superseded", c["at"])))
-        return F.when(free <= c["at"], runs_now).when(waits, replaces).otherwise(state(free, c["build"], c["duration"], out))
-
-    def finish(s: Column) -> Column:
-        return F.when(s["wait_build"].isNotNull(), F.concat(s["out"], record(s["wait_build"], "run", s["free"]))).otherwise(s["out"])
-
-    folded = ordered.select(F.explode(F.aggregate(F.transform("c", lambda c: F.struct(c["at"].cast("bigint").alias("at"), c["build"].cast("string").alias("build"), c["duration"].cast("bigint").alias("duration"))), start, step, finish)).alias("o"))
-    return folded.select("o.*")
+    asked = commands.where("at IS NOT NULL AND duration IS NOT NULL").select("at", "build", "duration")
+    n = max(1, -(-asked.count() // CHUNK))
+    ranged = asked.repartitionByRange(n, "at", "build", "duration").sortWithinPartitions("at", "build", "duration")
+    chunks = cut(ranged.select(F.spark_partition_id().alias("chunk"), F.col("build").cast("string").alias("build"), F.col("at").cast("bigint").alias("at"), F.col("duration").cast("bigint").alias("duration")))
+    ship(commands.sparkSession)
+    exits: dict[int, tuple] = {}
+    used: dict[int, tuple] = {}
+
+    def fold(entries: dict[int, tuple]) -> None:
+        rows = chunks.where(F.col("chunk").isin(*entries)).mapInArrow(slot.fold_states(entries), slot.STATES).collect()
+        exits.update({r["chunk"]: (r["free"], r["waiting"], r["build"], r["duration"]) for r in rows})
+        used.update(entries)
+
+    def stale() -> dict[int, tuple]:
+        """Chunks whose entry is not the exit of those before, and that exit."""
+        out, state = {}, slot.FREE
+        for chunk in range(n):
+            if chunk in used and used[chunk] != state:
+                out[chunk] = state
+            state = exits.get(chunk, state)
+        return out
+
+    fold(dict.fromkeys(range(n), slot.FREE))
+    rounds = 0
+    while wrong := stale():
+        fold(wrong if rounds < 2 else dict([next(iter(wrong.items()))]))
+        rounds += 1
+    last = max(exits, default=0)
+    return chunks.mapInArrow(slot.fold_outcomes(used, last), slot.OUTCOMES)
 
 
 def until_terminal(events: DataFrame, terminal: list[str], order: str = "seq") -> DataFrame:

@@ -86,3 +86,31 @@ def test_until_terminal(spark):
     rows = spark.createDataFrame([(1, "hello"), (2, "logs.line"), (3, "logs.end"), (4, "late")], "seq int, t string")
     assert [r["seq"] for r in events.until_terminal(rows, ["logs.end"]).collect()] == [1, 2, 3]
     assert events.until_terminal(rows, ["never"]).count() == 4
+
+
+@pytest.mark.parametrize(("spread", "longest"), [(3, 40), (30, 2), (9, 300)])
+def test_single_slot_in_chunks(spark, monkeypatch, spread, longest):
+    """Chunks give what a plain loop over all requests gives, however their histories meet; the fold keeps no outputs."""
+    monkeypatch.setattr(events, "CHUNK", 60)
+    rng = random.Random(spread)
+    at, rows = 0, []
+    for i in range(700):
+        at += rng.randrange(spread)
+        rows.append((f"b{i:04}", at, rng.randrange(longest)))
+    want, free, waiting = [], None, None
+    for build, at, duration in sorted(rows, key=lambda r: (r[1], r[0])):
+        if waiting and free <= at:
+            want.append((waiting[0], "run", free))
+            free, waiting = free + waiting[1], None
+        if free is None or free <= at:
+            want.append((build, "run", at))
+            free = at + duration
+        else:
+            if waiting:
+                want.append((waiting[0], "superseded", at))
+            waiting = (build, duration)
+    want += [(waiting[0], "run", free)] if waiting else []
+    rng.shuffle(rows)
+    asked = spark.createDataFrame(rows, "build string, at long, duration long")
+    assert sorted(map(tuple, events.single_slot(asked).collect())) == sorted(want)
+    assert events.single_slot(asked.limit(0)).count() == 0
