@@ -4,6 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from kilnframe.functions import hashing
 from kilnframe.operators import cache, classes, diff, keys
 
 T0 = dt.datetime(2024, 1, 1)
@@ -133,3 +134,23 @@ def test_inputs_by_class(spark, monkeypatch):
     grants = sorted(map(tuple, keys.sandbox_grants(found, outputs, ".tmp").collect()))
     assert grants == sorted([(k, "ro", p) for k, p in whole] + [("x1", "rw", "out"), ("x1", "rw", ".tmp")])
     assert grants == sorted(map(tuple, keys.sandbox_grants(found.expanded(), outputs, ".tmp").collect()))
+
+
+def test_keys_by_class(spark, monkeypatch):
+    """Keys from classes of inputs are those from rows, with null contents, without files and in large classes; files are sorted before targets join."""
+    monkeypatch.setattr(classes, "MEMBERS", 2)
+    text = spark.createDataFrame([("s/a-b.c", "1"), ("s/a/b.c", "2"), ("s/n.c", None), ("t/a.c", "4")], "path string, content string")
+    files = keys.hashed_files(text)
+    inputs = spark.createDataFrame([(f"x{i}", "s/**") for i in range(5)] + [("y", "t/a.c"), ("y", "s/*.c"), ("z", "gone")], "label string, glob string")
+    found = keys.input_classes(inputs, files)
+    outs = spark.createDataFrame([("x1", "aa"), ("x1", "BB")], "label string, outputs_hash string")
+    made = recipes(spark, *(f"x{i}" for i in range(5)), "y", "z", "bare")
+    by_class, by_row = keys.keyed(made, found, outs, "p"), keys.keyed(made, found.expanded(), outs, "p")
+    flat = lambda df: sorted((r["label"], r["cache_key"], sorted(map(tuple, r["file_inputs"]), key=str), r["dep_outputs"]) for r in df.collect())
+    assert flat(by_class) == flat(by_row) and len(flat(by_row)) == 8
+    plain = hashing.cache_key(F.col("command"), F.col("cwd"), F.col("env"), F.col("file_inputs"), F.col("dep_outputs"), "p")
+    assert by_class.where(~plain.eqNullSafe(F.col("cache_key"))).count() == 0
+    broken = spark.createDataFrame([("y", "t/a.c", "no hash")], "label string, path string, content_hash string")
+    assert {r["label"]: r["cache_key"] is None for r in keys.keyed(recipes(spark, "y", "z"), broken, outs, "p").collect()} == {"y": True, "z": False}
+    plan = by_class.select("cache_key")._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" in plan and "split(" not in plan[: plan.index("Join LeftOuter")]
