@@ -154,3 +154,14 @@ def test_keys_by_class(spark, monkeypatch):
     assert {r["label"]: r["cache_key"] is None for r in keys.keyed(recipes(spark, "y", "z"), broken, outs, "p").collect()} == {"y": True, "z": False}
     plan = by_class.select("cache_key")._jdf.queryExecution().optimizedPlan().toString()
     assert "split(" in plan and "split(" not in plan[: plan.index("Join LeftOuter")]
+
+
+def test_file_inputs_make_no_pair_distinct(spark):
+    """Files are made distinct for each class; no pair of target and file is shuffled or compared after the last join."""
+    files = spark.createDataFrame([(f"s/{i}.c", "h", 1) for i in range(5)], "path string, content_hash string, size long")
+    inputs = spark.createDataFrame([(f"x{i}", g) for i in range(20) for g in ("s/*.c", "s/**", "s/3.c")], "label string, glob string")
+    got = keys.file_inputs(inputs, files)
+    assert got.count() == 100 and got.distinct().count() == 100
+    plan = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    top = next(line for line in plan if "Join" in line)
+    assert "class" in top and not any("Aggregate" in line for line in plan[: plan.index(top)])
