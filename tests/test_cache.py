@@ -165,3 +165,17 @@ def test_file_inputs_make_no_pair_distinct(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
     top = next(line for line in plan if "Join" in line)
     assert "class" in top and not any("Aggregate" in line for line in plan[: plan.index(top)])
+
+
+def test_members_meet_arrays_of_rows(spark, monkeypatch):
+    """A joined row holds an array of a class's rows, not one of them, and a large class is several arrays; nulls and repeats stay."""
+    monkeypatch.setattr(classes, "MEMBERS", 3)
+    monkeypatch.setattr(classes, "ROWS", 4, raising=False)
+    members = spark.createDataFrame([(f"x{i}", "big") for i in range(10)] + [("y", "small"), ("z", "without")], "label string, class string")
+    named = [("big", f"s/{i}.c", None if i == 7 else i) for i in range(40)] + [("big", "s/5.c", 5), ("small", "t/a.c", 1), ("nobody's", "u/a.c", 2)]
+    got = classes.Classed(members, spark.createDataFrame(named, "class string, path string, size long")).expanded()
+    want = [(f"x{i}", p, n) for i in range(10) for c, p, n in named if c == "big"] + [("y", "t/a.c", 1)]
+    assert got.columns == ["label", "path", "size"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "inline(" in plan[: plan.index("Join")] and "_array" in plan[plan.index("Join") :].splitlines()[0]
