@@ -179,3 +179,21 @@ def test_members_meet_arrays_of_rows(spark, monkeypatch):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "inline(" in plan[: plan.index("Join")] and "_array" in plan[plan.index("Join") :].splitlines()[0]
+
+
+def test_a_row_comes_with_a_block_of_labels(spark, monkeypatch, tmp_path):
+    """A file comes with all labels of a block before the next one does, so that written pairs take well under a byte each; no
+    generated code holds a block's labels times an array's rows."""
+    monkeypatch.setattr(classes, "TASKS", 4, raising=False)
+    monkeypatch.setattr(classes, "SPREAD", 1, raising=False)
+    members = spark.range(1536).select(F.concat(F.lit("//part:p"), "id").alias("label"), F.lit("big").alias("class"))
+    rows = spark.range(1500).select(F.lit("big").alias("class"), F.concat(F.lit("src/en/"), "id", F.lit(".txt")).alias("path"), F.sha2(F.col("id").cast("string"), 256).alias("content_hash"), F.col("id").alias("size"))
+    got = classes.Classed(members, rows).expanded()
+    got.write.parquet(str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.count() == 1536 * 1500 and back.agg(F.count_distinct("label", "path")).first()[0] == 1536 * 1500
+    assert sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet")) < 0.6 * 1536 * 1500
+    first = [r["path"] for r in got.limit(512).collect()]
+    assert len(set(first)) == 1
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Generate inline(array_sort(" in plan and ") Generate inline(array_sort(" not in plan
