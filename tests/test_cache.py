@@ -197,3 +197,12 @@ def test_a_row_comes_with_a_block_of_labels(spark, monkeypatch, tmp_path):
     assert len(set(first)) == 1
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Generate inline(array_sort(" in plan and ") Generate inline(array_sort(" not in plan
+
+
+def test_grants_come_in_blocks(spark):
+    """A file granted to a class's targets comes with a block of their labels, not a label with all files."""
+    files = spark.createDataFrame([(f"s/{i}.c", "h", 1) for i in range(5)], "path string, content_hash string, size long")
+    inputs = spark.createDataFrame([(f"x{i}", "s/**") for i in range(6)], "label string, glob string")
+    got = keys.sandbox_grants(keys.input_classes(inputs, files), spark.createDataFrame([("x1", "out/a.o")], "label string, path string"), ".tmp")
+    assert got.count() == 32
+    assert "Generate inline(array_sort(" in got._jdf.queryExecution().executedPlan().toString()
